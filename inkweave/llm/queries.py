@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkweave.llm.common import table
 
 
+def op3_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkweave.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkweave.llm.simhash import near_duplicates
 
