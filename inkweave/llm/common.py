@@ -206,3 +206,35 @@ def inside(w: Words, k: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     last = np.repeat(w.first[1:], w.n)[: n - k + 1]
     return np.flatnonzero(np.arange(k, n + 1) <= last)
+
+
+# ---------------------------------------------------------------- code points
+
+
+def spaced(col: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All texts in one buffer, each followed by a space, and the offsets of their starts (and the end)."""
+    data, off = buffers(col)
+    view, ends = memoryview(data), off.tolist()
+    return b"".join([x for a, b in zip(ends, ends[1:]) for x in (view[a:b], b" ")]), off - off[0] + np.arange(len(off))
+
+
+def code_points(body: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buffer as uint32 code points, and the offsets in these."""
+    points = np.frombuffer(body.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    heads = np.concatenate([[0], np.cumsum((np.frombuffer(body, np.uint8) & 0xC0) != 0x80)])
+    return points, heads[off]
+
+
+# ---------------------------------------------------------------- whole rows
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole(docs: DataFrame):
+    """All columns as one struct, so that names can't clash with those an operator needs meanwhile."""
+    from pyspark.sql import functions as F
+
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")

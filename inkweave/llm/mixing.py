@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import arrow_map, stored, words
+from inkweave.llm.common import arrow_map, stored, whole, words
 
 MOST = 3
 CYCLE = 3
@@ -95,7 +95,7 @@ def mixed(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     A text that is cut has single spaces between its words.
     """
     plan = mix(docs, range_rows=range_rows).where("taken > 0").groupBy("doc_id", "mark").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_mark"))
+    row = docs.select(whole(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_mark"))
     found = row.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_mark") == F.col("mark")))
     found = found.select("row", "size", "taken", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")).alias("epoch"))
     words_now = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from inkweave.llm.common import table
 
 
+def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkweave.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkweave.llm.substring import remove_repeats
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import arrow_map, buffers, stored
+from inkweave.llm.common import arrow_map, buffers, stored, whole
 
 RADIUS = 4
 SEGMENTS = 5
@@ -177,7 +177,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     copies = prints.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["mark"] == y["mark"])
     best = best.join(copies, same(best, copies)).select(best["doc_id"].alias("keep_id"), best["mark"].alias("keep_mark"), "copies")
-    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", mark.alias("mark")).join(best, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark")))
+    kept = docs.select(whole(docs), "doc_id", mark.alias("mark")).join(best, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark")))
     kept = kept.select("row", "keep_id", "keep_mark", "copies")
     single = kept.where("copies = 1").select("row.*")
     repeated = kept.where("copies > 1").groupBy("keep_id", "keep_mark").agg(F.first("row").alias("row")).select("row.*")
