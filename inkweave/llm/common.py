@@ -131,9 +131,9 @@ def words(col: pa.Array) -> Words:
     return words_of(*buffers(col))
 
 
-def words_of(data: np.ndarray, off: np.ndarray) -> Words:
+def words_of(data: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> Words:
     data, off = data[off[0] : off[-1]], off - off[0]
-    ink = ~WHITE[data]
+    ink = ~white[data]
     begin, stop = ink.copy(), ink.copy()
     begin[1:] &= ~ink[:-1]
     stop[:-1] &= ~ink[1:]
