@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from inkweave.llm.common import table
 
 
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkweave.llm.pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
 def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkweave.llm.language import identify
 
