@@ -34,6 +34,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkweave.llm.audio import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkweave.llm.simhash import near_duplicates
 
