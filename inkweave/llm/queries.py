@@ -46,6 +46,12 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkweave.llm.chat import format_turns, read_back, with_probe
+
+    return read_back(format_turns(with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkweave.llm.mixing import mix
 
@@ -57,6 +63,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from inkweave.llm import mixing
+    from inkweave.llm import chat, mixing
 
-    return {"op10_mix_sources": mixing.ORACLE}
+    return {"op7_chat_columnar": chat.ORACLE, "op10_mix_sources": mixing.ORACLE}
