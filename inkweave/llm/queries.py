@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from inkweave.llm.common import table
 
 
+#: Public vocabulary for the token counts; the operator takes any path.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkweave.llm.pii import digest, find
 
@@ -52,6 +56,18 @@ def op7_chat_columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkweave.llm.tokens import histogram, lengths, suffix_sums
+
+    return suffix_sums(histogram(lengths(table(spark, sf_dir, "documents"), VOCABULARY)))
+
+
+def op9_url_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkweave.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkweave.llm.mixing import mix
 
