@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from inkweave.llm.common import U64, WHITE, Words, buffers, cut, gram_hashes, quoted, whole, word_hashes, words_of
+from inkweave.llm.common import U64, WHITE, Words, buffers, cut, gram_hashes, whole, with_field, word_hashes, words_of
 
 SHINGLE = 2
 RADIUS = 19
@@ -231,16 +231,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no benchmark item."""
-    spark = docs.sparkSession
+    spark, number = docs.sparkSession, docs.columns.index(text_col)
     for index in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in cut(batch, "text", PART_BYTES):
+                for part in cut(with_field(batch, number), "text", PART_BYTES):
                     keep = np.ones(part.num_rows, bool)
                     keep[shared.value.matches(part.column("text"))[0]] = False
                     yield pa.record_batch([part.column("row").filter(pa.array(keep))], names=["row"])
 
-        docs = docs.select(whole(docs), F.col(quoted(text_col)).alias("text")).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+        docs = docs.select(whole(docs)).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
     return docs

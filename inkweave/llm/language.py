@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from inkweave.llm.common import code_points, cut, quoted, spaced, whole
+from inkweave.llm.common import code_points, cut, spaced, whole, with_field
 
 BUCKETS = 1 << 15
 SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
-PART_BYTES = 2 << 20
+#: Bytes of text that are scanned, and whose words are decoded together, at a time.
+PART_BYTES = 1 << 20
+DECODE_BYTES = 8 << 20
 #: (name, first and last code point ...) of the scripts told apart; all else is script 0.
 SCRIPTS = (
     ("latin", (0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)),
@@ -231,17 +233,17 @@ def decode(texts: pa.Array, model: Model, spans: bool = False) -> tuple[list[str
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` and on request ``lang_spans``; only the text decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, number = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, "text", 32 << 20):
+            for part in cut(with_field(batch, number), "text", DECODE_BYTES):
                 names, rate, found = decode(part.column("text"), shared.value, spans)
                 extra = [pa.array(names, pa.string()), pa.array(rate), *([pa.array(found, pa.string())] if spans else [])]
                 yield pa.record_batch([part.column("row"), *extra], names=["row", "lang_pred", "lang_score", *["lang_spans"] * spans])
 
     schema = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())] + [StructField("lang_spans", StringType())] * spans)
-    return docs.select(whole(docs), F.col(quoted(text_col)).alias("text")).mapInArrow(run, schema).select("row.*", "lang_pred", "lang_score", *["lang_spans"] * spans)
+    return docs.select(whole(docs)).mapInArrow(run, schema).select("row.*", "lang_pred", "lang_score", *["lang_spans"] * spans)
 
 
 def held_out(id_col: str = "doc_id"):
