@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.plans import chart_queries, text_queries
+from inkweave.plans import chart_queries, package_queries, text_queries
 
-_ALL = {**chart_queries.QUERIES, **text_queries.QUERIES}
+_ALL = {**chart_queries.QUERIES, **text_queries.QUERIES, **package_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
