@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 _FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INT = r"^\s*[+-]?\d+\s*$"
@@ -27,25 +28,25 @@ def safe_float(text: Column) -> Column:
     return F.when(text.rlike(_FLOAT) & (F.abs(value) < float("inf")), value)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def four_digits(v: pd.Series) -> pd.Series:
     """At most four significant digits, the shortest of fixed and exponent form; null stays null."""
     return v.map(lambda x: f"{x:.4g}", na_action="ignore").astype(object)
 
 
-@pandas_udf("array<array<string>>")
+@pandas_udf(ArrayType(ArrayType(StringType())))
 def four_digits_nested(v: pd.Series) -> pd.Series:
     """``four_digits`` for the values of all series of a chart."""
     return v.map(lambda rows: None if rows is None else [None if r is None else [None if x is None or x != x else f"{x:.4g}" for x in r] for r in rows])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def plain_number(v: pd.Series) -> pd.Series:
     """Whole numbers without a fraction, others in shortest form; null is empty."""
     return v.map(lambda x: "" if x is None or x != x else str(int(x)) if x == int(x) else repr(float(x)))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def plain_numbers(v: pd.Series) -> pd.Series:
     return v.map(lambda r: None if r is None else ["" if x is None or x != x else str(int(x)) if x == int(x) else repr(float(x)) for x in r])
 
