@@ -210,7 +210,8 @@ def digest(found: DataFrame) -> DataFrame:
     """The counts, hash and list of spans that the query returns."""
     names = F.array(*map(F.lit, KINDS))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    of = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    count = [F.size(of(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *count, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
