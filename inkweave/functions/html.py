@@ -52,8 +52,10 @@ class _Markdown(HTMLParser):
         elif tag == "table":
             self.rows = []
         elif tag == "tr":
+            self.handle_endtag("tr")  # one that was left open
             self.row, self.head = [], False
         elif tag in ("td", "th"):
+            self.handle_endtag("td")
             self.head |= tag == "th"
             self.saved.append(self.out)
             self.out = []
@@ -82,9 +84,11 @@ class _Markdown(HTMLParser):
             if self.row is not None:
                 self.row.append(text)
         elif tag == "tr" and self.row is not None:
+            self.handle_endtag("td")
             self.rows.append((self.head, self.row))
             self.row = None
         elif tag == "table":
+            self.handle_endtag("tr")
             wide = max([1, *(len(r) for _, r in self.rows)])
             head = self.rows.pop(0)[1] if self.rows and self.rows[0][0] else []
             line = lambda r: "| " + " | ".join([*r, *[""] * (wide - len(r))]) + " |"
