@@ -231,8 +231,8 @@ def decode(texts: pa.Array, model: Model, spans: bool = False) -> tuple[list[str
     return names, rate, [",".join(x) for x in out]
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and on request ``lang_spans``; only the text decides."""
+def _judged(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``lang_pred``, ``lang_score`` and on request ``lang_spans``."""
     shared, number = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,18 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool =
                 yield pa.record_batch([part.column("row"), *extra], names=["row", "lang_pred", "lang_score", *["lang_spans"] * spans])
 
     schema = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())] + [StructField("lang_spans", StringType())] * spans)
-    return docs.select(whole(docs)).mapInArrow(run, schema).select("row.*", "lang_pred", "lang_score", *["lang_spans"] * spans)
+    return docs.select(whole(docs)).mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``lang_score`` and on request ``lang_spans``; only the text decides."""
+    return _judged(docs, model, text_col, spans).select("row.*", "lang_pred", "lang_score", *["lang_spans"] * spans)
+
+
+def with_language(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that have a language with at least this share of their letters."""
+    judged = _judged(docs, model, text_col)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select("row.*")
 
 
 def held_out(id_col: str = "doc_id"):
