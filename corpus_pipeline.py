@@ -20,7 +20,6 @@ and languages are kept as the operators describe.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkweave.llm import decontaminate, language, mixing, pii, simhash
 from inkweave.llm.common import stored, table
@@ -30,9 +29,7 @@ LEAST_SHARE = 0.4
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.train(docs.where(~language.held_out()))
-    judged = language.predict(docs, model)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+    return language.with_language(docs, language.train(docs.where(~language.held_out())), LEAST_SHARE)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
