@@ -117,7 +117,8 @@ def near_pairs(groups: DataFrame) -> DataFrame:
     first = F.lit(False)
     for k in reversed(range(SEGMENTS)):
         first = F.when(chains[k], F.col("k") == k).otherwise(first)
-    return index.join(probe, "key").where((F.col("a") != F.col("b")) & first).select("a", "b", "n_b")
+    # sizes are estimated before the explodes, so a broadcast would be chosen blindly
+    return index.join(probe.hint("merge"), "key").where((F.col("a") != F.col("b")) & first).select("a", "b", "n_b")
 
 
 # ---------------------------------------------------------------- components
