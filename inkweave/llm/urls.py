@@ -5,15 +5,17 @@ url's path starts with the rule's; of those that fit the longest decides.
 
 *Method* for all other urls.  The labels of a host are split into words by
 unigram Viterbi: the best product of word probabilities, where a piece that
-isn't in the lexicon costs more the longer it is.  The lexicon are the
-``LEXICON`` most frequent words (a to z) of all pages' text.  Host words, and the
+isn't in the lexicon costs more the longer it is.  The lexicon are all words (a
+to z) of all pages' text; each name is joined with those of its pieces that are
+words, so neither lexicon nor names are ever in one place.  Host words, and the
 path's runs of letters (numbers count as one token), are the tokens of a
 multinomial naive Bayes model with Laplace smoothing, hashed into ``BUCKETS``
 cells.  It learns from all urls that rules decide; without any it allows.
 
-Both models are bounded by their parameters, so they are sent to the workers
-whole; everything else is one map over the pages, so a host that holds a third
-of them is no hot spot.
+The naive Bayes model is bounded by its cells, so it is sent to the workers
+whole.  Words of hosts are made once for each distinct name and joined back; a
+host that holds a third of the pages is a skewed key of a sort-merge join, which
+adaptive execution splits.
 
 Nulls and edge cases: a null url or one without ``://`` has empty host and path,
 fits no rule and is judged by the model's prior alone; a tie allows; repeated
@@ -33,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.llm.common import stored
+
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-LEXICON = 50_000
 LONGEST = 20
 BUCKETS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,13 +65,11 @@ def ruled(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 # ---------------------------------------------------------------- segmentation
 
 
-def lexicon(pages: DataFrame, text_col: str = "html", most: int = LEXICON) -> dict[str, float]:
-    """Log-probabilities of the most frequent words of all pages, tags and scripts aside; ties by the word."""
+def lexicon(pages: DataFrame, text_col: str = "html") -> DataFrame:
+    """``word, n``: how often each word occurs in all pages, tags and scripts aside."""
     text = F.regexp_replace(F.regexp_replace(F.col(text_col), r"(?s)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(rf"(?<![^\s])([a-z]{{1,{LONGEST}}})(?![^\s,.;:!?])"))).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
-    total = sum(n for _, n in top) or 1
-    return {w: log(n / total) for w, n in top}
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def segment(name: str, words: dict[str, float]) -> list[str]:
@@ -88,13 +89,30 @@ def segment(name: str, words: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-def url_tokens(host: str, path: str, words: dict[str, float], cache: dict) -> list[str]:
-    """Tokens of a url: ``h:`` words of the host, ``p:`` pieces of the path, numbers as ``0``."""
-    if host not in cache:
-        if len(cache) > 200_000:
-            cache.clear()
-        cache[host] = [f"h:{w}" for x in _PIECE.findall(host) for w in (["0"] if x[0].isdigit() else segment(x, words))]
-    return cache[host] + ["p:0" if x[0].isdigit() else f"p:{x}" for x in _PIECE.findall(path.lower())]
+def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """``host, host_tokens`` of distinct hosts: the words of its names, numbers as ``0``, in order."""
+    pieces = F.regexp_extract_all("host", F.lit(f"({_PIECE.pattern})"))
+    placed = hosts.select("host", F.posexplode(pieces).alias("place", "name"))
+    names = placed.select("name").distinct()
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1
+    n = F.length("name")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - a + 1)), lambda k: F.substr(F.col("name"), a, k))))
+    known = names.select("name", F.explode(F.array_distinct(spans)).alias("word")).join(words.hint("merge"), "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = []
+            for name, found in zip(batch.column("name").to_pylist(), batch.column("known").to_pylist()):
+                split.append(["h:0"] if name[0].isdigit() else [f"h:{w}" for w in segment(name, {x["word"]: log(x["n"] / total) for x in found or []})])
+            yield pa.record_batch([batch.column("name"), pa.array(split, pa.list_(pa.string()))], names=["name", "split"])
+
+    done = names.join(known.hint("merge"), "name", "left").mapInArrow(run, "name string, split array<string>")
+    parts = placed.join(done.hint("merge"), "name").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "split"))).alias("s"))
+    return parts.select("host", F.flatten(F.transform("s", lambda x: x["split"])).alias("host_tokens"))
+
+
+def path_tokens(path: str) -> list[str]:
+    return ["p:0" if x[0].isdigit() else f"p:{x}" for x in _PIECE.findall(path.lower())]
 
 
 def bucket(token: str) -> int:
@@ -104,23 +122,26 @@ def bucket(token: str) -> int:
 # ---------------------------------------------------------------- naive Bayes
 
 
-def train(judged: DataFrame, words: dict[str, float]) -> tuple[np.ndarray, float]:
-    """Log-odds of block by token bucket, and the prior's, from rows of ``host, path, verdict``."""
-    shared = judged.sparkSession.sparkContext.broadcast(words)
+def _rows(batch: pa.RecordBatch) -> Iterator[list[str]]:
+    for host, path in zip(batch.column("host_tokens").to_pylist(), batch.column("path").to_pylist()):
+        yield (host or []) + path_tokens(path)
+
+
+def train(judged: DataFrame) -> tuple[np.ndarray, float]:
+    """Log-odds of block by token bucket, and the prior's, from rows of ``host_tokens, path, verdict``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((BUCKETS + 1, 2), np.int64)
-        cache: dict = {}
         for batch in batches:
-            for host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict"))):
+            for tokens, verdict in zip(_rows(batch), batch.column("verdict").to_pylist()):
                 k = int(verdict == "block")
                 count[BUCKETS, k] += 1
-                for t in url_tokens(host, path, shared.value, cache):
+                for t in tokens:
                     count[bucket(t), k] += 1
         at = np.flatnonzero(count.any(1))
         yield pa.record_batch([pa.array(at), pa.array(count[at, 0]), pa.array(count[at, 1])], names=["bucket", "allow", "block"])
 
-    got = judged.select("host", "path", "verdict").mapInArrow(run, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toArrow()
+    got = judged.select("host_tokens", "path", "verdict").mapInArrow(run, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toArrow()
     count = np.zeros((BUCKETS + 1, 2), np.float64)
     count[np.array(got.column("bucket"), np.int64)] = np.stack([np.array(got.column("allow")), np.array(got.column("block"))], 1).reshape(-1, 2)
     docs, rate = count[BUCKETS] + 1, count[:BUCKETS] + 1
@@ -132,18 +153,17 @@ def train(judged: DataFrame, words: dict[str, float]) -> tuple[np.ndarray, float
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict`` and ``odds``, the model's log-odds of block (null where a rule decides)."""
     df = ruled(pages, rules, id_col, url_col)
-    words = lexicon(pages, text_col)
-    odds, prior = train(df.where(F.col("rule").isNotNull()), words)
-    shared = pages.sparkSession.sparkContext.broadcast((words, odds, prior))
+    words = stored(host_words(df.select("host").distinct(), stored(lexicon(pages, text_col), "lexicon")), "hosts")
+    df = df.join(words.hint("merge"), "host", "left")
+    shared = pages.sparkSession.sparkContext.broadcast(train(df.where(F.col("rule").isNotNull())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, odds, prior = shared.value
-        cache: dict = {}
+        odds, prior = shared.value
         for batch in batches:
             verdict, score = batch.column("verdict").to_pylist(), []
-            for k, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())):
+            for k, tokens in enumerate(_rows(batch)):
                 if verdict[k] is None:
-                    score.append(prior + float(sum(odds[bucket(t)] for t in url_tokens(host, path, words, cache))))
+                    score.append(prior + float(sum(odds[bucket(t)] for t in tokens)))
                     verdict[k] = "block" if score[-1] > 0 else "allow"
                 else:
                     score.append(None)

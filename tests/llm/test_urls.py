@@ -18,6 +18,13 @@ def rule_of(host, path):
     return max(fit)[1:] if fit else (None, None)
 
 
+def url_tokens(host, path, words):
+    total = sum(words.values()) or 1
+    logs = {w: log(n / total) for w, n in words.items()}
+    pieces = re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", host)
+    return [f"h:{w}" for x in pieces for w in (["0"] if x[0].isdigit() else U.segment(x, logs))] + U.path_tokens(path)
+
+
 def brute(rows, words):
     """Judgement of (page_id, url) by plain loops."""
     seen = [(k, *parts(u)) for k, u in rows]
@@ -26,27 +33,31 @@ def brute(rows, words):
         rule, verdict = rule_of(host, path)
         if rule:
             docs[verdict] += 1
-            count[verdict].update(map(U.bucket, U.url_tokens(host, path, words, {})))
+            count[verdict].update(map(U.bucket, url_tokens(host, path, words)))
     total = {v: sum(c.values()) + U.BUCKETS for v, c in count.items()}
     prior = log((docs["block"] + 1) / (docs["allow"] + 1)) if docs else -1.0
     out = []
     for k, host, path in seen:
         rule, verdict = rule_of(host, path)
         if rule is None:
-            odds = prior + sum(log((count["block"][t] + 1) / total["block"]) - log((count["allow"][t] + 1) / total["allow"]) for t in map(U.bucket, U.url_tokens(host, path, words, {})))
+            odds = prior + sum(log((count["block"][t] + 1) / total["block"]) - log((count["allow"][t] + 1) / total["allow"]) for t in map(U.bucket, url_tokens(host, path, words)))
             assert abs(odds) > 1e-9 or odds == prior
             verdict = "block" if odds > 0 else "allow"
         out.append((k, host, path, rule, verdict))
     return sorted(map(str, out))
 
 
+def lexicon(df):
+    return {r.word: r.n for r in U.lexicon(df).collect()}
+
+
 def result(df):
     return sorted(map(str, map(tuple, U.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())))
 
 
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    assert result(pages) == brute([(r.page_id, r.url) for r in pages.collect()], U.lexicon(pages))
+    assert result(pages) == brute([(r.page_id, r.url) for r in pages.collect()], lexicon(pages))
 
 
 def test_segmentation_against_all_splits():
@@ -63,8 +74,8 @@ def test_nasty_rows(spark):
     urls = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/x?y", "http://example.com", "http://example.com/en/", "http://a.example.com/de/", "http://xexample.com/en/", "ftp://é.net/es/1#f", "http://x.net/fr/?q://z.com/", "http://net/es/", "http://u@h.net:80/fr/1", "http://a.org/q\nr/ΑΒ", "http://b.org/" + "z" * 50_000]
     rows = [(k if k % 3 else None, u, "<p>the of and</p><script>zzz</script>" if k % 2 else None, k) for k, u in enumerate(urls * 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, verdict int").repartition(3)
-    words = U.lexicon(df)
-    assert set(words) == {"the", "of", "and"}
+    words = lexicon(df)
+    assert words.keys() == {"the", "of", "and"}
     assert result(df) == brute([(r[0], r[1]) for r in rows], words)
     assert U.judge(df.limit(0)).count() == 0
     unruled = df.where("url = 'no scheme'")
