@@ -45,7 +45,9 @@ BLOCKS = 4
 THRESHOLD = 0.7
 ITEMS_AT_ONCE = 1024
 ITEM_BYTES = 16 << 20
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
+#: Windows that are fingerprinted together, about; bounds a worker's memory.
+WINDOWS_AT_ONCE = 200_000
 _APART = WHITE.copy()
 _APART[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -164,40 +166,47 @@ class Index:
         inner[hit + 1] = self.weights[k]
         inner = np.cumsum(inner)
         doc = w.doc()
-        starts, stops, sizes = [], [], []
+        weight = np.where(h != 0, self.other, 0)
+        weight[hit] = self.weights[k]
         whole_text = inner[w.first[1:]] - inner[w.first[:-1]]
+        waiting, n_waiting, got = [], 0, []
         for n, least in self.lengths:
+            at, end = none, none
             if len(h) >= n:
                 at = np.flatnonzero(inner[n - SHINGLE + 1 : len(h) - SHINGLE + 2] - inner[: len(h) - n + 1] >= least)
                 at = at[doc[at] == doc[at + n - 1]]
-                starts.append(at)
-                stops.append(at + n - SHINGLE + 1)
-                sizes.append(np.full(len(at), n))
+                end = at + n - SHINGLE + 1
             short = np.flatnonzero((w.n < n) & (whole_text >= least))
-            starts.append(w.first[short])
-            stops.append(np.maximum(w.first[short + 1] - SHINGLE + 1, w.first[short]))
-            sizes.append(np.full(len(short), n))
-        start, stop, size = np.concatenate(starts), np.concatenate(stops), np.concatenate(sizes)
-        order = np.argsort(start, kind="stable")
-        start, stop, size = start[order], stop[order], size[order]
-        weight = np.where(h != 0, self.other, 0)
-        weight[hit] = self.weights[k]
-        prints = _prints(h, weight, start, stop)
-        x, y = self.candidates(prints, size)
+            at = np.concatenate([at, w.first[short]])
+            end = np.concatenate([end, np.maximum(w.first[short + 1] - SHINGLE + 1, w.first[short])])
+            waiting.append((at, end, np.full(len(at), n)))
+            n_waiting += len(at)
+            if n_waiting > WINDOWS_AT_ONCE or n == self.lengths[-1][0]:
+                got.append(self._near(h, weight, *map(np.concatenate, zip(*waiting))))
+                waiting, n_waiting = [], 0
+        start, stop, y, apart = map(np.concatenate, zip(*got))
         order = np.argsort(y, kind="stable")
-        x, y = x[order], y[order]
-        sim = np.zeros(len(x))
+        start, stop, y, apart = start[order], stop[order], y[order], apart[order]
+        sim = np.zeros(len(y))
         edges = np.flatnonzero(np.diff(y, prepend=-1))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(y)]):
-            sim[a:b] = self.similarity(h, start[x[a:b]], stop[x[a:b]], int(y[a]))
+            sim[a:b] = self.similarity(h, start[a:b], stop[a:b], int(y[a]))
         good = sim >= THRESHOLD
-        x, y, sim = x[good], y[good], sim[good]
-        d, first = doc[start[x]], start[x]
-        order = np.lexsort((first, -sim, y, d))
-        d, y, sim, first, x = d[order], y[order], sim[order], first[order], x[order]
+        start, stop, y, apart, sim = start[good], stop[good], y[good], apart[good], sim[good]
+        d = doc[start]
+        order = np.lexsort((start, -sim, y, d))
+        d, y, sim, start, stop, apart = d[order], y[order], sim[order], start[order], stop[order], apart[order]
         top = (np.diff(d, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0)
-        d, y, sim, first, x = d[top], y[top], sim[top], first[top], x[top]
-        return d, y, sim, first - w.first[d], stop[x] - start[x] + SHINGLE - 1, np.bitwise_count(prints[x] ^ self.prints[y]).astype(np.int64)
+        d, y, sim, start, stop, apart = d[top], y[top], sim[top], start[top], stop[top], apart[top]
+        return d, y, sim, start - w.first[d], stop - start + SHINGLE - 1, apart
+
+    def _near(self, h: np.ndarray, weight: np.ndarray, start: np.ndarray, stop: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, stop, item, Hamming distance) of the windows whose fingerprints are within the radius of an item's."""
+        order = np.argsort(start, kind="stable")
+        start, stop, size = start[order], stop[order], size[order]
+        prints = _prints(h, weight, start, stop)
+        x, y = self.candidates(prints, size)
+        return start[x], stop[x], y, np.bitwise_count(prints[x] ^ self.prints[y]).astype(np.int64)
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
