@@ -14,22 +14,22 @@ from pathlib import Path
 from inkweave import __version__
 
 CODES = {"ok": 0, "unsupported_format": 3, "corrupt_archive": 4, "internal_error": 6}
-FIELDS = ("markdown", "warnings", "charts_found", "charts_rendered", "groups_found", "vlm_used")
+FIELDS = ("markdown", "charts_found", "charts_rendered", "warnings", "vlm_used", "groups_found")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkweave", description="Convert office packages to Markdown.")
-    p.add_argument("sources", nargs="*", metavar="SOURCE", help="files or folders; standard input without any")
+    p.add_argument("sources", help="files or folders; standard input without any", metavar="SOURCE", nargs="*")
     p.add_argument("-o", "--output", help="file, or the folder of a batch")
-    p.add_argument("--format", choices=("docx", "xlsx"), help="format of standard input")
-    p.add_argument("--fail-fast", action="store_true", help="end a batch at its first failure")
-    p.add_argument("--json", action="store_true", help="write whole results as JSON")
-    p.add_argument("--strict", action="store_true", help="reserved")
-    p.add_argument("--gate", choices=("structural", "off", "none"), default="structural", help="which diagrams stay")
+    p.add_argument("--format", help="format of standard input", choices=("docx", "xlsx"))
+    p.add_argument("--gate", help="which diagrams stay", choices=("structural", "off", "none"), default="structural")
+    switches = {"--fail-fast": "end a batch at its first failure", "--json": "write whole results", "--strict": "reserved"}
+    for name, text in switches.items():
+        p.add_argument(name, help=text, action="store_true")
     loud = p.add_mutually_exclusive_group()
-    loud.add_argument("-v", "--verbose", action="store_true")
-    loud.add_argument("-q", "--quiet", action="store_true")
-    p.add_argument("--version", action="version", version=__version__)
+    for names in (("-v", "--verbose"), ("-q", "--quiet")):
+        loud.add_argument(*names, action="store_true")
+    p.add_argument("--version", version=__version__, action="version")
     return p
 
 
@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if not path.exists():
             p.error(f"{path}: no such file or directory")
         if path.is_file() and path.suffix.lower() not in SUFFIXES:
-            p.error(f"{path}: unrecognized extension (expected .docx or .xlsx)")
+            p.error(f"{path}: neither .docx nor .xlsx")
         if not path.is_file() and not path.is_dir():
             p.error(f"{path}: not a regular file")
     many = len(paths) > 1 or any(path.is_dir() for path in paths)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ZERO_WIDTH = "​"
 MAX_ANSWER = 50_000
 SHOWN_NUMBERS = 10
-SECRETS = r"(?i)(Bearer\s+\S+|Authorization:\s*\S+|sk-[A-Za-z0-9]{20,}|sk-ant-[A-Za-z0-9-]+)"
+SECRETS = "(?i)(" + "|".join((r"sk-ant-[A-Za-z0-9-]+", r"sk-[A-Za-z0-9]{20,}", r"Authorization:\s*\S+", r"Bearer\s+\S+")) + ")"
 IMAGE_MARK = r"> \[Image, docx media ([0-9a-f]{12}) — raster content not analyzed\]"
 GROUP_MARK = r"> \[Figure, docx group ([0-9a-f]{12}) — composite content not analyzed\]\n> captions: ([^\n]*)"
 RASTER = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "bmp": "bmp", "tif": "tiff", "tiff": "tiff"}
@@ -43,7 +43,7 @@ def id12(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 12)
 
 
-# ---------------------------------------------------------------- Markdown hygiene
+# == Markdown hygiene
 
 
 def demote_headings(md: Column) -> Column:
@@ -107,7 +107,7 @@ def answer(text: Column) -> Column:
     return F.when(strip(text) != "", F.substring(text, 1, MAX_ANSWER))
 
 
-# ---------------------------------------------------------------- scoring
+# == scoring
 
 
 def letters(text: Column) -> Column:
@@ -154,7 +154,7 @@ _VERDICTS = (("hallucination", "yes", "vlm-judge-hallucination"), ("mermaid_fit"
 
 def verdict_defects(reply: Column) -> Column:
     """Tags of a judge's reply; an incomplete reply gives none.  The last line of a key counts."""
-    said = [F.regexp_extract_all(reply, F.lit(rf"(?im)^\s*{key}\s*:\s*(yes|no|n/a)\s*$")) for key, _, _ in _VERDICTS]
+    said = [F.regexp_extract_all(reply, F.lit(rf"(?im)^\s*{key}\s*:\s*(n/a|no|yes)\s*$")) for key, _, _ in _VERDICTS]
     tags = [F.when(F.lower(F.try_element_at(x, F.lit(-1))) == bad, tag) for x, (_, bad, tag) in zip(said, _VERDICTS)]
     whole = (F.size(said[0]) > 0) & (F.size(said[1]) > 0) & (F.size(said[2]) > 0)
     return F.when(whole, F.filter(F.array(*tags), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
@@ -165,7 +165,7 @@ def panel(first: Column, second: Column) -> Column:
     return F.array_union(first, second)
 
 
-# ---------------------------------------------------------------- markers
+# == markers
 
 
 def image_marker(ident: Column) -> Column:

@@ -14,7 +14,7 @@ from inkweave.functions.text import rich_text
 
 #: More points than a sheet has rows can't be meant; such a count or index is malformed.
 MOST_POINTS = 1 << 20
-SIMPLE = {"lineChart": "line", "pieChart": "pie", "doughnutChart": "doughnut", "radarChart": "radar", "scatterChart": "scatter", "areaChart": "area"}
+SIMPLE = {f"{kind}Chart": kind for kind in ("radar", "area", "line", "doughnut", "scatter", "pie")}
 
 
 def tag_type(tag: Column, bar_dir: Column) -> Column:
@@ -90,7 +90,7 @@ def parse(df: DataFrame, raw: str = "raw", to: str = "chart") -> DataFrame:
     return made.withColumn(to, chart).drop("_series", "_first", "_categories")
 
 
-# ---------------------------------------------------------------- from long-form points
+# == from long-form points
 
 
 def grid(points: DataFrame, keys: list[str], count: str, idx: str, value: str, order: str) -> DataFrame:

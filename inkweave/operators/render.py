@@ -85,7 +85,7 @@ def with_markdown(df: DataFrame, chart: str = "chart", to: str = "markdown", gat
     df = df.withColumn("_four", four_digits_nested(F.concat(F.transform(c["series"], lambda s: s["values"]), F.coalesce(ends, F.array().cast("array<array<double>>")))))
     four, last = F.col("_four"), F.element_at("_four", -1)
     kind = c["chart_type"]
-    code = F.when(kind.isin("pie", "doughnut"), pie(c, four)).when(kind.isin("column", "bar", "line", "area", "combo"), xychart(c, four, last)).when(kind == "radar", radar(c, four))
+    code = F.when(kind.isin("pie", "doughnut"), pie(c, four)).when(kind.isin("area", "combo", "line", "bar", "column"), xychart(c, four, last)).when(kind == "radar", radar(c, four))
     code = F.when(has_values(c) & F.lit(gate != "none"), code)
     df = df.withColumn("diagram", code)
     if gate == "structural":

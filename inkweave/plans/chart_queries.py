@@ -169,7 +169,7 @@ SELECT word, count(*) AS n, CASE WHEN regexp_full_match(word, '[+-]?\d+') THEN T
        CASE WHEN regexp_full_match(word, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN TRY_CAST(word AS DOUBLE) END AS as_double
 FROM (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents) WHERE word ~ '^[+.0-9-].*' GROUP BY word"""
 
-FORMATS = ("", "0.0%", "#,##0.000", "General", "0", "0.00;-0.00", "0%")
+FORMATS = ("", "General", "#,##0.000", "0", "0.0%", "0.00;-0.00", "0%")
 
 
 def value_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SUFFIXES = {".docx": "docx", ".xlsx": "xlsx"}
+SUFFIXES = {f".{kind}": kind for kind in ("xlsx", "docx")}
 
 
 def walk(sources: list[Path]) -> list[tuple[str, str]]:

@@ -6,15 +6,22 @@ import io
 import zipfile
 from xml.sax.saxutils import escape, quoteattr
 
+_OPEN = "http://schemas.openxmlformats.org"
 _NS = {
-    "w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "mc": "http://schemas.openxmlformats.org/markup-compatibility/2006",
-    "wpg": "http://schemas.microsoft.com/office/word/2010/wordprocessingGroup", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
-    "c": "http://schemas.openxmlformats.org/drawingml/2006/chart", "a": "http://schemas.openxmlformats.org/drawingml/2006/main",
-    "xdr": "http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing", "s": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
+    "s": f"{_OPEN}/spreadsheetml/2006/main", "xdr": f"{_OPEN}/drawingml/2006/spreadsheetDrawing", "a": f"{_OPEN}/drawingml/2006/main", "c": f"{_OPEN}/drawingml/2006/chart",
+    "w": f"{_OPEN}/wordprocessingml/2006/main", "r": f"{_OPEN}/officeDocument/2006/relationships", "mc": f"{_OPEN}/markup-compatibility/2006",
+    "wpg": "http://schemas.microsoft.com/office/word/2010/wordprocessingGroup",
 }
 _SPACES = " ".join(f'xmlns:{k}="{v}"' for k, v in _NS.items())
 
 
+def nest(path: str, inner: str = "", **attrs: str) -> str:
+    """``inner`` within the elements of ``path``, the outermost first; attributes go to the innermost."""
+    tags = path.split()
+    own = "".join(f" {k.replace('__', ':')}={quoteattr(v)}" for k, v in attrs.items())
+    return "".join(f"<{t}>" for t in tags[:-1]) + f"<{tags[-1]}{own}>{inner}" + "".join(f"</{t}>" for t in reversed(tags))
+
+
 def archive(parts: dict[str, bytes | str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -26,7 +33,7 @@ def archive(parts: dict[str, bytes | str]) -> bytes:
 def rels(links: dict[str, tuple[str, str]]) -> str:
     """A relationship part from id -> (kind, target)."""
     rows = "".join(f'<Relationship Id="{k}" Type="{_NS["r"]}/{kind}" Target={quoteattr(t)}/>' for k, (kind, t) in links.items())
-    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rows}</Relationships>'
+    return nest("Relationships", rows, xmlns=f"{_OPEN}/package/2006/relationships")
 
 
 def points(values: list, n: int | None = None) -> str:
@@ -36,32 +43,33 @@ def points(values: list, n: int | None = None) -> str:
 
 
 def chart(tag: str, title: str | None, categories: list, series: list[tuple[str, list]], code: str | None = None, axis: str | None = None, inner: str = "", cached: bool = True) -> str:
-    rich = lambda t: f"<c:title><c:tx><c:rich><a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p></c:rich></c:tx></c:title>"
+    rich = lambda t: nest("c:title c:tx c:rich a:p a:r a:t", escape(t))
     sers = ""
     for name, values in series:
-        cats = f"<c:cat><c:strRef><c:f>S!$A$1</c:f><c:strCache>{points(categories)}</c:strCache></c:strRef></c:cat>" if categories else ""
-        cache = f"<c:numCache>{f'<c:formatCode>{escape(code)}</c:formatCode>' if code else ''}{points(values)}</c:numCache>" if cached else ""
-        sers += f"<c:ser><c:tx><c:strRef><c:strCache>{points([name])}</c:strCache></c:strRef></c:tx>{cats}<c:val><c:numRef><c:f>S!$B$1</c:f>{cache}</c:numRef></c:val></c:ser>"
-    value_axis = f"<c:valAx>{rich(axis)}</c:valAx>" if axis else ""
-    return f"<c:chartSpace {_SPACES}><c:chart>{rich(title) if title else ''}<c:plotArea><c:{tag}>{inner}{sers}</c:{tag}>{value_axis}</c:plotArea></c:chart></c:chartSpace>"
+        cats = nest("c:cat c:strRef", nest("c:f", "S!$A$1") + nest("c:strCache", points(categories))) if categories else ""
+        cache = nest("c:numCache", (nest("c:formatCode", escape(code)) if code else "") + points(values)) if cached else ""
+        sers += nest("c:ser", nest("c:tx c:strRef c:strCache", points([name])) + cats + nest("c:val c:numRef", nest("c:f", "S!$B$1") + cache))
+    plot = nest("c:plotArea", nest(f"c:{tag}", inner + sers) + (nest("c:valAx", rich(axis)) if axis else ""))
+    return f"<c:chartSpace {_SPACES}>" + nest("c:chart", (rich(title) if title else "") + plot) + "</c:chartSpace>"
 
 
 def paragraph(text: str, style: str | None = None, num: str | None = None, props: str = "") -> str:
-    head = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="0"/><w:numId w:val="{num}"/></w:numPr>' if num else "")
-    return f'<w:p>{f"<w:pPr>{head}</w:pPr>" if head else ""}<w:r>{f"<w:rPr>{props}</w:rPr>" if props else ""}<w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
+    head = (nest("w:pStyle", w__val=style) if style else "") + (nest("w:numPr", nest("w:ilvl", w__val="0") + nest("w:numId", w__val=num)) if num else "")
+    run = (nest("w:rPr", props) if props else "") + nest("w:t", escape(text))
+    return nest("w:p", (nest("w:pPr", head) if head else "") + nest("w:r", run))
 
 
 def picture(rid: str) -> str:
-    return f'<w:p><w:r><w:drawing><a:blip r:embed="{rid}"/></w:drawing></w:r></w:p>'
+    return nest("w:p w:r w:drawing a:blip", r__embed=rid)
 
 
 def group(texts: list[str], rids: list[str] = ()) -> str:
-    inner = "".join(f"<a:t>{escape(t)}</a:t>" for t in texts) + "".join(f'<a:blip r:embed="{r}"/>' for r in rids)
-    return f'<w:p><w:r><mc:AlternateContent><mc:Choice Requires="wpg"><w:drawing><wpg:wgp>{inner}</wpg:wgp></w:drawing></mc:Choice><mc:Fallback><w:t>old</w:t></mc:Fallback></mc:AlternateContent></w:r></w:p>'
+    inner = "".join(nest("a:t", escape(t)) for t in texts) + "".join(nest("a:blip", r__embed=r) for r in rids)
+    return nest("w:p w:r mc:AlternateContent", nest("mc:Choice w:drawing wpg:wgp", inner) + nest("mc:Fallback w:t", "old"))
 
 
 def chart_anchor(rid: str) -> str:
-    return f'<w:p><w:r><w:drawing><c:chart r:id="{rid}"/></w:drawing></w:r></w:p>'
+    return nest("w:p w:r w:drawing c:chart", r__id=rid)
 
 
 def grid(rows: list[list[str]]) -> str:

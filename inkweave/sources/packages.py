@@ -50,7 +50,7 @@ class Unsupported(ValueError):
     """The archive isn't of the expected format."""
 
 
-# ---------------------------------------------------------------- archive
+# == archive
 
 
 def check(z: zipfile.ZipFile, max_member: int = MAX_MEMBER, max_total: int = MAX_TOTAL, max_entries: int = MAX_ENTRIES) -> None:
@@ -79,7 +79,7 @@ def read(z: zipfile.ZipFile, part: str, most: int = MAX_MEMBER) -> bytes:
     return b"".join(got)
 
 
-# ---------------------------------------------------------------- charts
+# == charts
 
 
 def _cache(holder: Node | None) -> dict | None:
@@ -138,7 +138,7 @@ def raw_chart(root: Node) -> dict | None:
     return out
 
 
-# ---------------------------------------------------------------- word documents
+# == word documents
 
 _GRAPHICS = ("drawing", "pict", "object")
 
@@ -265,7 +265,7 @@ def _docx(z: zipfile.ZipFile, names: set[str], out: dict) -> None:
         pass  # the text stays; only its styling is lost
 
 
-# ---------------------------------------------------------------- workbooks
+# == workbooks
 
 
 def _column(ref: str) -> int:
@@ -347,7 +347,7 @@ def _xlsx(z: zipfile.ZipFile, names: set[str], out: dict) -> None:
                     k += 1
 
 
-# ---------------------------------------------------------------- one document
+# == one document
 
 
 def shred_bytes(content: bytes | None, form: str | None) -> dict:

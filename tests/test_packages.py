@@ -27,10 +27,10 @@ def results(spark):
         + B.group(["Alpha", "12", "Alpha"], ["rId3"]) + B.chart_anchor("rId2") + B.chart_anchor("rId4") + B.chart_anchor("rId99")
     )
     links = {"rId1": ("image", "media/i.png"), "rId3": ("image", "media/g.png"), "rId2": ("chart", "charts/c1.xml"), "rId4": ("chart", "/word/charts/c2.xml"), "rId5": ("image", "media/s.png"), "rId6": ("image", "media/h.png")}
-    numbering = '<w:numbering xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="2"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
+    numbering = '<w:numbering xmlns:w="urn:w"><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="2"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
     header = {"word/header1.xml": '<h><x id="rId7"/></h>', "word/_rels/header1.xml.rels": B.rels({"rId7": ("image", "media/lost.png"), "rId8": ("image", "media/orphan.png")}), "word/numbering.xml": numbering}
     media = {"i.png": IMAGE, "g.png": OTHER, "s.png": b"small", "lost.png": IMAGE + b"x", "orphan.png": IMAGE + b"y"}
-    styles = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="20"/></cellXfs></styleSheet>'
+    styles = '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="20"/></cellXfs></styleSheet>'
     rows = [["N", "V", None], ["x\ny", 5.0, True], [None, None, "z"], [0.1, 1e21, (44197.5, 1)], [(44197, 2), (0.25, 3), -3]]
     book = B.xlsx([{"name": "D", "rows": rows, "anchors": [(3, 8, [BARS, EMPTY]), (28, 1, [B.chart("lineChart", None, [], [("s", [1, None])])])]}, {"name": "E", "rows": [], "state": "hidden"}, {"name": "C", "rows": [], "anchors": [(0, 0, [BARS])]}], {"xl/styles.xml": styles})
     items = [("a", "docx", B.docx(body, media, {"c1.xml": BARS, "c2.xml": EMPTY}, links, header)), ("b", "xlsx", book), ("c", "docx", b""), ("d", "docx", book), ("e", "xlsx", book[:400]), ("f", None, b"x"), ("g", "docx", B.docx("")), ("h", "docx", B.archive({"word/document.xml": "<a"})), ("i", "xlsx", None)]
