@@ -25,7 +25,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-# ---------------------------------------------------------------- stored tables
+# == stored tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- Arrow
+# == Arrow
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
@@ -107,7 +107,7 @@ def pack(parts: list[bytes] | np.ndarray, offsets: np.ndarray | None = None) ->
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-# ---------------------------------------------------------------- words
+# == words
 
 
 class Words(NamedTuple):
@@ -144,7 +144,7 @@ def words_of(data: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> Wo
     return Words(data, start, np.flatnonzero(stop) + 1, np.searchsorted(start, off))
 
 
-# ---------------------------------------------------------------- hashing
+# == hashing
 
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _ODD = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
@@ -208,7 +208,7 @@ def inside(w: Words, k: int) -> np.ndarray:
     return np.flatnonzero(np.arange(k, n + 1) <= last)
 
 
-# ---------------------------------------------------------------- code points
+# == code points
 
 
 def spaced(col: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -225,7 +225,7 @@ def code_points(body: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points, heads[off]
 
 
-# ---------------------------------------------------------------- whole rows
+# == whole rows
 
 
 def with_field(batch: pa.RecordBatch, number: int, name: str = "text") -> pa.RecordBatch:

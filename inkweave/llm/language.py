@@ -109,7 +109,7 @@ class Scan:
         self.letter_script = script[points[letter[points]]]
 
 
-# ---------------------------------------------------------------- training
+# == training
 
 
 def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     return Model(langs, n)
 
 
-# ---------------------------------------------------------------- decoding
+# == decoding
 
 
 def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:

@@ -38,7 +38,7 @@ WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
 
 
-# ---------------------------------------------------------------- fingerprints
+# == fingerprints
 
 
 def fingerprint(text: bytes) -> int:
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep), kernel, f"doc_id long, fp long{kinds}")
 
 
-# ---------------------------------------------------------------- pairs
+# == pairs
 
 
 def _signed(mask: int) -> int:
@@ -121,7 +121,7 @@ def near_pairs(groups: DataFrame) -> DataFrame:
     return index.join(probe.hint("merge"), "key").where((F.col("a") != F.col("b")) & first).select("a", "b", "n_b")
 
 
-# ---------------------------------------------------------------- components
+# == components
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

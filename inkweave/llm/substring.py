@@ -48,7 +48,7 @@ _SPACED = np.where(WHITE, 32, np.arange(256)).astype(np.uint8)
 _NO_ID = np.iinfo(np.int64).min
 
 
-# ---------------------------------------------------------------- coding of sorted hashes
+# == coding of sorted hashes
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -96,7 +96,7 @@ def _ranges(values: np.ndarray, ranges: int) -> tuple[np.ndarray, list[int]]:
     return which[at].astype(np.int64), [*at.tolist(), len(values)]
 
 
-# ---------------------------------------------------------------- slices
+# == slices
 
 
 def packed(docs: DataFrame) -> DataFrame:

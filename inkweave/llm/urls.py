@@ -62,7 +62,7 @@ def ruled(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     return df.withColumn("rule", rule).withColumn("verdict", verdict)
 
 
-# ---------------------------------------------------------------- segmentation
+# == segmentation
 
 
 def lexicon(pages: DataFrame, text_col: str = "html") -> DataFrame:
@@ -119,7 +119,7 @@ def bucket(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
 
 
-# ---------------------------------------------------------------- naive Bayes
+# == naive Bayes
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[list[str]]:
