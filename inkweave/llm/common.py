@@ -5,6 +5,7 @@ Everything here works on Arrow buffers with numpy; no row-at-a-time Python.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -64,10 +65,20 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for part in cut(batch, text, limit) if text else [batch]:
                 yield kernel(part)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives memory that a partition's kernel has freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def cut(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``limit`` bytes of ``text`` each (one row at least)."""
     n = batch.num_rows

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from inkweave.llm.common import U64, WHITE, Words, buffers, cut, gram_hashes, whole, with_field, word_hashes, words_of
+from inkweave.llm.common import U64, WHITE, Words, buffers, cut, gram_hashes, release, whole, with_field, word_hashes, words_of
 
 SHINGLE = 2
 RADIUS = 19
@@ -233,6 +233,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 for part in cut(batch, "text", PART_BYTES):
                     d, y, *rest = shared.value.matches(part.column("text"))
                     yield pa.record_batch([part.column("doc_id").take(pa.array(d)), shared.value.ids.take(pa.array(y)), *map(pa.array, rest)], names=["doc_id", "item_id", "similarity", "start_word", "n_words", "hamming"])
+            release()
 
         found = found.unionByName(picked.mapInArrow(run, schema))
     return found
@@ -250,6 +251,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                     keep = np.ones(part.num_rows, bool)
                     keep[shared.value.matches(part.column("text"))[0]] = False
                     yield pa.record_batch([part.column("row").filter(pa.array(keep))], names=["row"])
+            release()
 
         docs = docs.select(whole(docs)).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
     return docs

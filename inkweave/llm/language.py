@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from inkweave.llm.common import code_points, cut, spaced, whole, with_field
+from inkweave.llm.common import code_points, cut, release, spaced, whole, with_field
 
 BUCKETS = 1 << 15
 SWITCH = 12.0
@@ -126,6 +126,7 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
                     for cells, shift in ((s.two, 0), (s.three, 0), (s.letter_script, 2 * BUCKETS)):
                         n = np.bincount(cells)
                         total[x][shift : shift + len(n)] += n
+        release()
         for x, n in total.items():
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([x] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "cell", "n"])
@@ -241,6 +242,7 @@ def _judged(docs: DataFrame, model: Model, text_col: str = "text", spans: bool =
                 names, rate, found = decode(part.column("text"), shared.value, spans)
                 extra = [pa.array(names, pa.string()), pa.array(rate), *([pa.array(found, pa.string())] if spans else [])]
                 yield pa.record_batch([part.column("row"), *extra], names=["row", "lang_pred", "lang_score", *["lang_spans"] * spans])
+        release()
 
     schema = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())] + [StructField("lang_spans", StringType())] * spans)
     return docs.select(whole(docs)).mapInArrow(run, schema)

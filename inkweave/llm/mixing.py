@@ -10,7 +10,9 @@ make a range hold ``RANGE_ROWS`` rows, so no source, however large, is sorted
 or summed in one task: sums per range give each range's offset, and a window
 within the range gives the distributed prefix sums.  A source is taken whole as
 many times as its budget holds (epochs), and then up to exactly the budget: the
-document at the cut gives its first words only.
+document at the cut gives its first words only.  Only the table of sources (one
+row each) and, per source, that of its ranges are ordered in one task; they
+spill, and hold no documents.
 
 Nulls and edge cases: a null or blank text has size 0 and takes 0; a null
 source is a source of its own, the last; rows with equal keys (repeated doc_id,

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from inkweave.llm.common import stored, whole
+from inkweave.llm.common import SLICE_BYTES, cut, release, stored, whole
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in cut(whole_batch, "text", SLICE_BYTES)):
             bases, founds = [], []
             for t in batch.column("text").to_pylist():
                 base = base_spans(t) if t else []
@@ -168,6 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
                 founds.append([{"start": a, "end": b, "instance": _key(t[a:b].lower()), "seed": seed, "patterns": _patterns(t, a, b)} for seed, spans in ((True, [x[1:] for x in base]), (False, other)) for a, b in spans])
             yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(bases, base_type), pa.array(founds, found_type)], names=["doc_id", "mark", "base", "found"])
+        release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, schema)
@@ -234,9 +235,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = rows.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left").select("row", "text", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in cut(whole_batch, "text", SLICE_BYTES)):
             clean = [t and masked(t, [(x["kind"], x["start"], x["end"]) for x in m or []]) for t, m in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist())]
             yield pa.record_batch([batch.column("row"), pa.array(clean, pa.string())], names=["row", "clean"])
+        release()
 
     schema = StructType([StructField("row", docs.schema)]).add("clean", "string")
     done = rows.mapInArrow(run, schema)
