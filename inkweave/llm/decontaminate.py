@@ -18,7 +18,10 @@ neither ASCII white space nor ASCII punctuation, A-Z lower-cased; shingles are
 
 The items are a stated query set: ``ITEMS_AT_ONCE`` of them are sent to the
 workers at a time, whose size is bounded by ``ITEM_BYTES``, and the documents
-are read once for each such block.  Nothing is shuffled but the matches.
+are read once for each such block.  Weights are those of the whole benchmark
+whatever the blocks: shingles that several items hold are counted over all of
+them and sent along with each block (a shingle of one item weighs as much as
+one of none).  Nothing is shuffled but these counts.
 
 Nulls and edge cases: null or blank texts match nothing, on either side; items
 of fewer than ``SHINGLE`` words have no shingles and match nothing; a null
@@ -86,17 +89,27 @@ def _prints(h: np.ndarray, weight: np.ndarray, start: np.ndarray, stop: np.ndarr
     return out
 
 
+def _distinct(w: Words, h: np.ndarray) -> list[np.ndarray]:
+    """Each text's distinct shingles, ascending."""
+    return [np.unique(h[a:b][h[a:b] != 0]) for a, b in zip(w.first, w.first[1:])]
+
+
 class Index:
-    """A block of benchmark items."""
+    """A block of benchmark items.  ``n_items`` and ``held``: of the whole benchmark, if the block isn't all of it."""
 
-    def __init__(self, items: pa.Table):
+    def __init__(self, items: pa.Table, n_items: int | None = None, held: tuple[np.ndarray, np.ndarray] | None = None):
         text = items.column("text").combine_chunks()
         self.ids = items.column("item_id").combine_chunks()
         w, h = _scan(text)
-        per = [np.unique(h[a:b][h[a:b] != 0]) for a, b in zip(w.first, w.first[1:])]
-        every, df = np.unique(np.concatenate([*per, np.zeros(0, np.uint64)]), return_counts=True)
+        per = _distinct(w, h)
+        every, df = own, _ = np.unique(np.concatenate([*per, np.zeros(0, np.uint64)]), return_counts=True)
+        if held is not None:
+            every = np.union1d(own, held[0])
+            df = np.ones(len(every), np.int64)
+            df[np.searchsorted(every, held[0])] = held[1]
         self.shingles = every
-        n_items = max(1, len(per))
+        self.own = np.isin(every, own)
+        n_items = max(1, len(per) if n_items is None else n_items)
         self.other = int(round(16 * np.log2(1 + n_items)))
         self.weights = np.round(16 * np.log2(1 + n_items / np.maximum(df, 1))).astype(np.int64)
         self.quick = np.zeros(1 << 20, bool)
@@ -109,7 +122,7 @@ class Index:
         self.prints = _prints(h, weight, w.first[:-1], w.first[1:])
         self.lengths = [(int(n), int(self.least[self.size == n].min())) for n in np.unique(self.size[self.size > 0])]
         # by block and block value: bit mask of the items within RADIUS // BLOCKS
-        cells = -(-n_items // 64)
+        cells = -(-max(1, len(per)) // 64)
         self.near = np.zeros((BLOCKS, 1 << 16, cells), np.uint64)
         values = np.arange(1 << 16)
         for k, p in enumerate(self.prints.tolist()):
@@ -118,7 +131,7 @@ class Index:
                     self.near[b, _POP[values ^ (p >> 16 * b & 0xFFFF)] <= RADIUS // BLOCKS, k // 64] |= U64(1 << k % 64)
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of shingles that some item has, and their numbers."""
+        """Positions of shingles that some item has (of this block, or several of others), and their numbers."""
         at = np.flatnonzero(self.quick[(h >> U64(44)).astype(np.int64)])
         k = np.searchsorted(self.shingles, h[at]).clip(0, max(0, len(self.shingles) - 1))
         hit = self.shingles[k] == h[at] if len(self.shingles) else np.zeros(len(at), bool)
@@ -163,7 +176,7 @@ class Index:
             return none, none, none.astype(float), none, none, none
         hit, k = self.lookup(h)
         inner = np.zeros(len(h) + 1, np.int64)
-        inner[hit + 1] = self.weights[k]
+        inner[hit + 1] = self.weights[k] * self.own[k]
         inner = np.cumsum(inner)
         doc = w.doc()
         weight = np.where(h != 0, self.other, 0)
@@ -209,14 +222,30 @@ class Index:
         return start[x], stop[x], y, np.bitwise_count(prints[x] ^ self.prints[y]).astype(np.int64)
 
 
+def repeated(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than one item holds, ascending, and how many items hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut(batch, "text", PART_BYTES):
+                yield pa.record_batch([pa.array(np.concatenate([*_distinct(*_scan(part.column("text"))), np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
+        release()
+
+    got = items.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shingles = np.array(got.column("shingle"), np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], np.array(got.column("n"), np.int64)[order]
+
+
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """The benchmark in blocks of bounded size."""
     items = benchmark.where(F.length(text_col) > 0).select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(-(-n // (ITEMS_AT_ONCE * 3 // 4)), -(-size // (ITEM_BYTES * 3 // 4)), 0)
+    held = repeated(items) if blocks > 1 else None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield Index(part.toArrow())
+        yield Index(part.toArrow(), n, held)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

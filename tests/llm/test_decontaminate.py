@@ -85,6 +85,18 @@ def test_planted_passages(spark, documents, sf_dir):
         D.ITEMS_AT_ONCE = blocks
 
 
+def test_blocks_give_the_same_rows(spark, monkeypatch):
+    items, texts = cases()
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = lambda: (sorted(map(tuple, D.leaks(docs, bench).collect())), sorted(r.doc_id for r in D.clean(docs, bench).collect()))
+    one = rows()
+    assert len(one[0]) > 20
+    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 8)
+    assert len(list(D.item_blocks(bench))) > 3
+    assert rows() == one
+
+
 def test_nasty_rows(spark, nasty):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, "long long long long"), (3, None), (4, ""), (5, "word"), (1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     got = D.leaks(nasty, bench)
