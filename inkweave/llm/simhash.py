@@ -150,7 +150,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """Per distinct fingerprint: ``fp``, ``n_near`` (of each of its documents) and ``component_id``."""
+    """Per distinct fingerprint: ``fp``, ``n_near`` (of each of its documents), ``component_id`` (null if none of the component's rows has an id) and ``rep``, which is never null."""
     groups = stored(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("root")), "fingerprints")
     pairs = stored(near_pairs(groups), "pairs")
     member = components(pairs.where("a < b"))
@@ -158,7 +158,7 @@ def classes(prints: DataFrame) -> DataFrame:
     wide = groups.join(degree, groups.fp == degree.a, "left").join(member, groups.fp == member.node, "left")
     wide = stored(wide.select("fp", "root", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), F.coalesce("rep", "fp").alias("rep")), "classes")
     least = wide.groupBy("rep").agg(F.min("root").alias("component_id"))
-    return wide.join(least, "rep").select("fp", "n_near", "component_id")
+    return wide.join(least, "rep").select("fp", "n_near", "component_id", "rep")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +173,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     prints = stored(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), keep=("mark",)), "prints")
     rows = prints.join(classes(prints).withColumnRenamed("component_id", "root"), "fp")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    member = rows.withColumn("one", F.coalesce("root", "fp")).withColumn("rootless", F.col("root").isNull())
+    member = rows.withColumn("one", F.coalesce("root", "rep")).withColumn("rootless", F.col("root").isNull())
     best = member.groupBy("one", "rootless").agg(F.min(key).alias("k")).select("k.doc_id", "k.mark")
     copies = prints.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["mark"] == y["mark"])

@@ -85,6 +85,15 @@ def test_one_of_each(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in S.near_duplicates(documents).collect()})
 
 
+def test_one_of_linked_texts_without_ids(spark):
+    text = " ".join(f"word{k * k}" for k in range(100))
+    df = spark.createDataFrame([(None, text), (None, text + " end"), (None, text + " end"), (None, "something else entirely here"), (7, "one more text with an id")], "doc_id long, text string")
+    near = [r.n_near for r in S.near_duplicates(df).collect()]
+    assert len({r.fingerprint for r in S.near_duplicates(df).collect()}) == 4 and sorted(near) == [0, 0, 2, 2, 2]
+    kept = [r.text for r in S.one_of_each(df).collect()]
+    assert len(kept) == 3 and sum(t.startswith(text) for t in kept) == 1
+
+
 def test_nasty_rows(nasty):
     rows = [(r.doc_id, r.text) for r in nasty.collect()]
     assert result(nasty) == brute(rows)
