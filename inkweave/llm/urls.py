@@ -5,8 +5,10 @@ url's path starts with the rule's; of those that fit the longest decides.
 
 *Method* for all other urls.  The labels of a host are split into words by
 unigram Viterbi: the best product of word probabilities, where a piece that
-isn't in the lexicon costs more the longer it is.  The lexicon are all words (a
-to z) of all pages' text; each name is joined with those of its pieces that are
+isn't in the lexicon costs more the longer it is.  The lexicon are all words (runs
+of a to z, of any length, that touch no other letters) of all pages' text, tags,
+scripts and entities aside.  A piece has ``LONGEST`` letters at most, as the names
+of a host have by DNS.  Each name is joined with those of its pieces that are
 words, so neither lexicon nor names are ever in one place.  Host words, and the
 path's runs of letters (numbers count as one token), are the tokens of a
 multinomial naive Bayes model with Laplace smoothing, hashed into ``BUCKETS``
@@ -38,8 +40,10 @@ from pyspark.sql import functions as F
 from inkweave.llm.common import stored
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-LONGEST = 20
+LONGEST = 63
 BUCKETS = 1 << 16
+#: Entities that are letters, which words don't end at; all others are marks.
+_LETTER = r"&(?i:[a-z]{1,2}(?:acute|grave|circ|uml|tilde|ring|cedil|slash|caron|lig));"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PIECE = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
@@ -66,9 +70,10 @@ def ruled(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
 
 def lexicon(pages: DataFrame, text_col: str = "html") -> DataFrame:
-    """``word, n``: how often each word occurs in all pages, tags and scripts aside."""
+    """``word, n``: how often each word occurs in all pages, tags, scripts and entities aside."""
     text = F.regexp_replace(F.regexp_replace(F.col(text_col), r"(?s)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(rf"(?<![^\s])([a-z]{{1,{LONGEST}}})(?![^\s,.;:!?])"))).alias("word"))
+    text = F.regexp_replace(F.regexp_replace(text, _LETTER, "é"), r"&(?:#?[0-9a-zA-Z]+);", " ")
+    words = pages.select(F.explode(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"(?<![\p{L}\p{M}])([a-z]++)(?![\p{L}\p{M}])"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 

@@ -70,6 +70,17 @@ def test_segmentation_against_all_splits():
     assert U.segment("theredcars", words) == ["the", "red", "car", "s"] and U.segment("", words) == []
 
 
+def test_lexicon_has_all_words(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    html = f"""<p class="no">"Quoted" (in brackets) well-known $cash 50%off *star* {long}, caf\u00e9 &Eacute;tat na&iuml;ve</p><style>zzz</style>&copy;&middot;R&amp;D end.&#169;{'y' * 70}"""
+    df = spark.createDataFrame([(1, f"http://{long}.com/", html)], "page_id long, url string, html string")
+    assert lexicon(df) == dict.fromkeys(["quoted", "in", "brackets", "well", "known", "cash", "off", "star", long, "r", "d", "end", "y" * 70], 1)
+    words = {w: log(n / 13) for w, n in lexicon(df).items()}
+    assert U.segment(long, words) == [long] and U.segment(long + "end", words) == [long, "end"]
+    hosts = U.host_words(spark.createDataFrame([(f"{long}.com",)], "host string"), U.lexicon(df))
+    assert hosts.first().host_tokens[0] == f"h:{long}"
+
+
 def test_nasty_rows(spark):
     urls = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/x?y", "http://example.com", "http://example.com/en/", "http://a.example.com/de/", "http://xexample.com/en/", "ftp://é.net/es/1#f", "http://x.net/fr/?q://z.com/", "http://net/es/", "http://u@h.net:80/fr/1", "http://a.org/q\nr/ΑΒ", "http://b.org/" + "z" * 50_000]
     rows = [(k if k % 3 else None, u, "<p>the of and</p><script>zzz</script>" if k % 2 else None, k) for k, u in enumerate(urls * 2)]
