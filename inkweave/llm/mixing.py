@@ -94,11 +94,19 @@ def spread(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 def mixed(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix itself: rows of ``docs`` that are taken, with ``size``, ``taken`` and one row per epoch (``epoch``); at the cut, the text's first words only.
 
-    A text that is cut has single spaces between its words.
+    A text that is cut has single spaces between its words.  Repeated rows (equal
+    doc_id, source and text) take what ``mix`` gives them together: each its
+    epochs, and the rest in turn.  Only where the cut falls among them are they
+    numbered, in one task for each such document.
     """
-    plan = mix(docs, range_rows=range_rows).where("taken > 0").groupBy("doc_id", "mark").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    row = docs.select(whole(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_mark"))
-    found = row.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_mark") == F.col("mark")))
+    plan = mix(docs, range_rows=range_rows).groupBy("doc_id", "source", "mark").agg(F.max("size").alias("size"), F.count("*").alias("n"), F.min("taken").alias("low"), F.max("taken").alias("high"), F.sum("taken").alias("sum")).where("sum > 0")
+    row = docs.select(whole(docs), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("from"), F.xxhash64("text").alias("text_mark"))
+    found = row.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("text_mark") == F.col("mark")))
+    found = found.withColumn("epochs", F.expr("low div size * size"))
+    turn = Window.partitionBy("doc_id", "source", "mark").orderBy("mark")
+    rest = F.col("sum") - F.col("n") * F.col("epochs") - (F.row_number().over(turn) - 1) * F.col("size")
+    apart = found.where("low <> high").withColumn("taken", F.col("epochs") + F.greatest(F.lit(0), F.least(F.col("size"), rest)))
+    found = found.where("low = high").withColumn("taken", F.col("low")).unionByName(apart).where("taken > 0")
     found = found.select("row", "size", "taken", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")).alias("epoch"))
     words_now = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
     found = found.withColumn("n", words_now)

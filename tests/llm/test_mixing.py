@@ -77,6 +77,22 @@ def test_the_mix_itself(documents):
         assert re.findall(WORD, r.text) == texts[r.doc_id][: r.mix_words]
 
 
+def test_repeated_rows_stay_within_the_budget(spark):
+    text = "a b c d e f g"
+    rows = [(1, "s1", text)] * 5 + [(1, "s2", text)] * 3 + [(None, "s2", text)] * 2 + [(2, "s2", "x y"), (3, "s1", "z " * 20), (4, None, "w " * 30), (4, None, "w " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want, got = {}, {}
+    plan = M.mix(df).collect()
+    for r in plan:
+        want[r.source, r.doc_id] = want.get((r.source, r.doc_id), 0) + r.taken
+    mixed = M.mixed(df).collect()
+    for r in mixed:
+        assert 0 < r.mix_words == len(r.text.split()) <= 30
+        got[r.source, r.doc_id] = got.get((r.source, r.doc_id), 0) + r.mix_words
+    assert got == {k: v for k, v in want.items() if v}
+    assert {(r.source, r.target) for r in plan} and all(abs(sum(v for (s, _), v in got.items() if s == r.source) - r.target) <= 0.5 for r in plan)
+
+
 def test_nasty_rows(nasty):
     rows = [(r.doc_id, r.source, r.text) for r in nasty.collect()]
     assert result(nasty) == result(nasty, range_rows=5) == brute(rows)
