@@ -73,7 +73,7 @@ SHEET_TABLE, SHEET_EMPTY = _sheet_sql("1e9"), _sheet_sql("-985.0")
 
 
 def rel_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as parts: targets resolved from each url's folder, then followed to the customer of that key."""
+    """Pages as parts: targets resolved from each url's folder, then followed to the customer of that key; as in the SQL, pages whose id 5 divides aren't asked for."""
     part = F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)
     target = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/pages//"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("../x/./"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("a/../b/"), F.col("page_id").cast("string")))
     df = table(spark, sf_dir, "pages").select("page_id", part.alias("source_part"), target.alias("target"))
