@@ -32,7 +32,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, capt
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with one benchmark item, by number."""
+    """Every document with one benchmark item, by number: as in the SQL, of the items 0 to 39 only; a document whose remainder has no item is left out."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     return _documents(spark, sf_dir).join(items, F.col("doc_id") % 40 == F.col("item_id"))
 
