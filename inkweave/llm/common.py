@@ -30,8 +30,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """Folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs on one machine (tests)."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/inkweave-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -199,12 +201,12 @@ def word_hashes(w: Words) -> np.ndarray:
     return mixed(h)
 
 
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every ``k`` consecutive entries of ``h`` (len(h) - k + 1 of them, across texts too; mask those)."""
+def gram_hashes(h: np.ndarray, k: int, which: int = 1) -> np.ndarray:
+    """Hash of every ``k`` consecutive entries of ``h`` (len(h) - k + 1 of them, across texts too; mask those); ``which`` of two families."""
     n = len(h)
     if n < k:
         return np.zeros(0, np.uint64)
-    up, down = powers(n + 1, 1)
+    up, down = powers(n + 1, which)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(h * up[:n], out=sums[1:])
     return mixed((sums[k:] - sums[:-k]) * down[: n - k + 1] + U64(k))

@@ -42,7 +42,27 @@ def test_small_alphabet_in_many_ranges(spark):
     made = lambda: rng.choice([None, "", " ".join(rng.choice("a b c".split()) for _ in range(rng.randint(0, 60))), " ".join(rng.choice(["x y z w"] * 3 + ["q r"]) for _ in range(12))])
     rows = [(rng.choice([None, *range(40)]), made()) for _ in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert result(df, range_entries=50) == result(df) == brute(rows)
+    assert result(df, range_entries=50) == result(df, range_entries=50, fan_out=4) == result(df) == brute(rows)
+
+
+def test_candidates_come_from_the_index(spark, monkeypatch):
+    """Without blocks there are no hits, so nothing is found: the anchors decide what is compared."""
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text), (2, text), (-(2**63), "x " + text)], "doc_id long, text string")
+    assert result(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+    row = S.packed(df.coalesce(1)).first().asDict()
+    s = S.Slice(row)
+    every, none = np.ones(len(s.keys), bool), np.zeros(len(s.keys), bool)
+    assert len(s.windows(every, every, none)["at"]) == len(s.windows(every, none, every)["at"]) == 28 + 28 + 29
+    assert not len(s.windows(every, none, none)["at"])
+    assert not len(s.windows(none, every, every)["at"])
+
+
+def test_equal_hashes_of_unequal_windows():
+    h, check = np.array([5, 9, 5, 5, 9], np.uint64), np.array([1, 0, 2, 1, 0], np.uint32)
+    order, head, group = S._distinct(h, check)
+    assert [(int(h[order][k]), int(check[order][k])) for k in head] == [(5, 1), (5, 2), (9, 0)]
+    assert np.bincount(group).tolist() == [2, 1, 2]
 
 
 def test_passage_at_every_offset(spark):
