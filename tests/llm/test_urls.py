@@ -34,13 +34,14 @@ def brute(rows, words):
         if rule:
             docs[verdict] += 1
             count[verdict].update(map(U.bucket, url_tokens(host, path, words)))
-    total = {v: sum(c.values()) + U.BUCKETS for v, c in count.items()}
-    prior = log((docs["block"] + 1) / (docs["allow"] + 1)) if docs else -1.0
+    known = set(count["allow"]) | set(count["block"])
+    total = {v: sum(c.values()) + len(known) for v, c in count.items()}
+    prior = 0.0 if docs else -1.0
     out = []
     for k, host, path in seen:
         rule, verdict = rule_of(host, path)
         if rule is None:
-            odds = prior + sum(log((count["block"][t] + 1) / total["block"]) - log((count["allow"][t] + 1) / total["allow"]) for t in map(U.bucket, url_tokens(host, path, words)))
+            odds = prior + sum(log((count["block"][t] + 1) / total["block"]) - log((count["allow"][t] + 1) / total["allow"]) for t in map(U.bucket, url_tokens(host, path, words)) if t in known)
             assert abs(odds) > 1e-9 or odds == prior
             verdict = "block" if odds > 0 else "allow"
         out.append((k, host, path, rule, verdict))
@@ -60,6 +61,17 @@ def test_pages(spark, sf_dir):
     assert result(pages) == brute([(r.page_id, r.url) for r in pages.collect()], lexicon(pages))
 
 
+def test_model_tells_the_classes_apart(spark, sf_dir):
+    """On ruled urls that it hasn't learned from, and with both verdicts among those that no rule decides."""
+    pages = spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet")
+    seen = {(r.truth, r.verdict): r.n for r in U.held_out(pages).collect()}
+    for truth in ("allow", "block"):
+        right = seen.get((truth, truth), 0)
+        assert right / sum(n for (t, _), n in seen.items() if t == truth) > 0.9, seen
+    free = U.judge(pages).where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in free} == {"allow", "block"}
+
+
 def test_segmentation_against_all_splits():
     words = {w: log(p) for w, p in (("the", 0.05), ("red", 0.01), ("there", 0.002), ("d", 0.001), ("car", 0.01), ("cart", 0.004), ("s", 0.02))}
     cost = lambda ws: sum(words.get(w, -12.0 - 2.3 * len(w)) for w in ws)
