@@ -45,6 +45,8 @@ def test_query_against_brute_force(documents):
         assert [got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone] == [sum(a == x for a, *_ in spans) for x in range(4)]
         assert got[k].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) - {""} <= set(got[k].spans.split(","))
+        more = [x for x in got[k].spans.split(",") if x.startswith("secret")]
+        assert more == [f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', t)] and got[k].n_spans == len(spans) + got[k].n_more
 
 
 def scores(rows, rounds=P.ROUNDS):
@@ -53,13 +55,16 @@ def scores(rows, rounds=P.ROUNDS):
     for p, i, s in rows:
         edges[p, i] = edges.get((p, i), False) or s
     seed = {i: any(v for (_, j), v in edges.items() if j == i) for _, i in edges}
-    conf, found = {i: float(s) for i, s in seed.items()}, {}
+    conf, found, last = {i: float(s) for i, s in seed.items()}, {}, {}
     for _ in range(rounds):
         found = {}
         for p in {p for p, _ in edges}:
             mine = [i for q, i in edges if q == p]
             if sum(edges[p, i] for i in mine) >= P.MIN_SEEDS:
                 found[p] = sum(conf[i] for i in mine) / (len(mine) + 1)
+        if last and max(abs(found[p] - last[p]) for p in found) <= P.SETTLED:
+            break
+        last = found
         for i in conf:
             doubt = 1.0
             for q, j in edges:
@@ -78,6 +83,38 @@ def test_scores_against_loops(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_contexts_have_no_limits():
+    long = "w" * 5000
+    t = f"{long} {long}x 12345 {long} end"
+    a = t.index("12345")
+    assert P._before(t, a) == (long, long + "x", "") and P._after(t, a + 5) == (long, "end")
+    assert P._before("12345", 0) == ("", "", "") and P._after("12345", 5) == ("", "")
+    assert P._before("a b id=77", 7) == ("b", "id=", "id=") and P._shape("x.92@Mail2.é_") == "a.9@Aa9.a_"
+
+
+def test_secrets_seed_their_context(spark):
+    rng = random.Random(8)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(6)]
+    rows = [(k, f'some words {k} token = "{h}" more words') for k, h in enumerate(hexes)]
+    rows += [(50, 'other text token = "hunter2-not-hex" here'), (51, "commit deadbeef 1234567 stays")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in P.digest(P.find(df)).collect()}
+    assert all(got[k].spans.startswith("secret:") and got[k].n_more == 1 for k in range(6))
+    assert got[50].spans == "id:20:35" and got[51].spans == ""
+    assert {r.text for r in P.redact(df).where("doc_id < 6").collect()} == {f'some words {k} token = "[SECRET]" more words' for k in range(6)}
+
+
+def test_recovers_hidden_seeds(spark):
+    """A quarter of the entities is hidden; where contexts repeat, the patterns of the others find them again."""
+    words = "alpha beta gamma delta epsilon".split()
+    rows = [(k, f"{words[k % 5]} write to mail {k}.x@h{k % 7}.example.com or 10.{k}.2.{k % 9} at the {words[k % 3]}") for k in range(120)]
+    r = P.recovered(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert r.hidden > 40 and r.found == r.hidden and r.others == 0
+    noise = [(k, f"w{chr(97 + k % 26)}{chr(97 + k % 23)} 10.{k}.2.3 v{chr(97 + k % 19)}") for k in range(60)]
+    r = P.recovered(spark.createDataFrame(noise, "doc_id long, text string")).first()
+    assert r.hidden > 5 and r.others == 0
+
+
 def test_contexts_discover_identifiers(spark):
     rows = [(k, f"hello call me at +1 (456) 555-{1000 + k} please") for k in range(9)] + [(k, f"ref={k}@mail.example.com;") for k in range(20, 26)]
     rows += [(100, "now call me at K-99123-Z please"), (101, "the number 7712345 is fine"), (102, "ref=ZX-88")]
