@@ -7,6 +7,8 @@ from this histogram, whose size is the number of distinct lengths.  Suffix sums
 over it give, for every context limit, how many documents and tokens reach it
 and the total left after truncation.  They are computed in chunks of
 ``CHUNK`` lengths: sums per chunk, suffix sums over the chunks, then within each.
+The histogram is written out first, so the corpus is encoded once; limits and
+quantiles are asked of all its rows in one aggregation.
 
 Nulls and edge cases: a null or empty text has length 0; control strings in a
 text are ordinary text; repeated rows count each; other columns are ignored; an
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import arrow_map
+from inkweave.llm.common import arrow_map, stored
 
 CHUNK = 1024
 #: Splitting of text before merging, as the vocabulary was made with.
@@ -59,7 +61,7 @@ def histogram(counted: DataFrame) -> DataFrame:
 
 def suffix_sums(hist: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per length: documents and tokens of at least this length, all tokens, tokens left if texts are cut at this length, and the share of documents no longer than it."""
-    h = hist.withColumn("chunk", F.expr(f"length div {chunk}")).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    h = stored(hist, "histogram").withColumn("chunk", F.expr(f"length div {chunk}")).withColumn("tokens", F.col("length") * F.col("n_docs"))
     chunks = h.groupBy("chunk").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -81,15 +83,16 @@ def suffix_sums(hist: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """``limit, docs_over, truncated_total`` for any limits, from the suffix sums of the next longer length."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    longer = sums.select("length", "docs_from", "tokens_from")
-    total = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
-    got = asked.join(longer, F.col("length") > F.col("limit"), "left").groupBy("limit").agg(F.min_by(F.struct("docs_from", "tokens_from"), "length").alias("s"))
+    over = [F.min_by(F.struct("docs_from", "tokens_from"), F.when(F.col("length") > x, F.col("length"))).alias(f"_{k}") for k, x in enumerate(limits)]
+    got = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"), *over)
+    each = F.array(*(F.struct(F.lit(int(x)).cast("long").alias("limit"), F.col(f"_{k}").alias("s")) for k, x in enumerate(limits)))
+    got = got.select("total_tokens", F.explode(each).alias("e")).select("total_tokens", "e.limit", "e.s")
     docs, tokens = F.coalesce("s.docs_from", F.lit(0)), F.coalesce("s.tokens_from", F.lit(0))
-    return got.join(F.broadcast(total)).select("limit", docs.alias("docs_over"), (F.col("total_tokens") - tokens + docs * F.col("limit")).alias("truncated_total"))
+    return got.select("limit", docs.alias("docs_over"), (F.col("total_tokens") - tokens + docs * F.col("limit")).alias("truncated_total"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """``share, length``: the least length that this share of documents doesn't exceed."""
-    asked = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return asked.join(sums.select("length", "share_up_to"), F.col("share_up_to") >= F.col("share")).groupBy("share").agg(F.min("length").alias("length"))
+    """``share, length``: the least length that this share of documents doesn't exceed (null without documents)."""
+    least = [F.min(F.when(F.col("share_up_to") >= x, F.col("length"))).alias(f"_{k}") for k, x in enumerate(shares)]
+    each = F.array(*(F.struct(F.lit(float(x)).alias("share"), F.col(f"_{k}").alias("length")) for k, x in enumerate(shares)))
+    return sums.agg(*least).select(F.explode(each).alias("e")).select("e.share", "e.length")

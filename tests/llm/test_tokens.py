@@ -27,6 +27,17 @@ def test_documents(documents):
     check(documents, [r.text for r in documents.collect()])
 
 
+def test_corpus_is_encoded_once(spark, documents):
+    sums = K.suffix_sums(K.histogram(K.lengths(documents, VOCABULARY)))
+    assert "MapInArrow" not in sums._jdf.queryExecution().toString()
+
+
+def test_long_runs_without_a_break(spark):
+    texts = ["y" * 2_000_000, "ab" * 500_000, "é" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in K.lengths(df, VOCABULARY).collect()} == {k: len(K.encoding(VOCABULARY).encode_ordinary(t)) for k, t in enumerate(texts)}
+
+
 def test_nasty_rows(nasty):
     check(nasty, [r.text for r in nasty.collect()])
     none = K.suffix_sums(K.histogram(K.lengths(nasty.limit(0), VOCABULARY)))
