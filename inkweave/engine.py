@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from inkweave.operators.documents import documents
 from inkweave.operators.sheets import workbooks
-from inkweave.sources.packages import format_of, shred
+from inkweave.sources.packages import ANY_CASE, format_of, shred
+from inkweave.sources.tables import stored
 
 NO_CONTENT = "no extractable content"
 NO_DIAGRAMS = "diagram gate is 'none': chart diagrams left out, tables only"
@@ -47,7 +48,7 @@ class Config:
 
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Packages under a path as ``source_id, format, content``; other files aren't read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{docx,xlsx,DOCX,XLSX,Docx,Xlsx}").load(path)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", ANY_CASE).load(path)
     return df.select(F.col("path").alias("source_id"), format_of(F.col("path")).alias("format"), "content")
 
 
@@ -76,10 +77,10 @@ def convert_shredded(shredded: DataFrame, config: Config = Config()) -> DataFram
 def convert(source: DataFrame, config: Config = Config()) -> DataFrame:
     """Rows of ``source_id, format, content`` to result rows.
 
-    The shredded rows are cached, as charts, sheets and texts each read them;
-    ``source_id`` must be unique.
+    The shredded rows are written to the shared folder first, as charts, sheets
+    and texts each read some of their columns; ``source_id`` must be unique.
     """
-    return convert_shredded(shred(source).persist(), config)
+    return convert_shredded(stored(shred(source), "shredded"), config)
 
 
 def totals(results: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ GROUP_MARK = r"> \[Figure, docx group ([0-9a-f]{12}) — composite content not a
 RASTER = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "bmp": "bmp", "tif": "tiff", "tiff": "tiff"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -56,7 +63,12 @@ def demote_headings(md: Column) -> Column:
     heading = r"(?mdU)^[^\S\n]*#{1,6}[^\S\n]+(\S(?:[^\n]*\S)?)[^\S\n]*$"
     fences = F.regexp_extract_all(md, F.lit(f"({fence})"))
     pieces = F.transform(F.split(md, fence, -1), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, heading, r"**$1**")).otherwise(x))
-    return F.array_join(F.flatten(F.transform(pieces, lambda x, i: F.array(x, F.coalesce(F.get(fences, i), F.lit(""))))), "")
+    return _woven(pieces, fences)
+
+
+def _woven(pieces: Column, between: Column) -> Column:
+    """The pieces of a split with what stood between them, in one pass."""
+    return F.array_join(F.zip_with(pieces, between, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
 
 def balance_fences(md: Column) -> Column:
@@ -73,7 +85,7 @@ def gate_fences(md: Column, gate: str = "structural") -> Column:
     found, rest = F.regexp_extract_all(md, F.lit(f"({fence})")), F.split(md, fence, -1)
     code = lambda x: F.regexp_replace(F.regexp_replace(x, r"^```mermaid[ \t]*\n", ""), r"\n*```[ \t]*\z", "")
     kept = F.transform(found, lambda x: F.when(accepted(code(x)), x).otherwise(F.regexp_replace(x, r"^```mermaid", "```text")))
-    return F.array_join(F.flatten(F.transform(rest, lambda x, i: F.array(x, F.coalesce(F.get(kept, i), F.lit(""))))), "")
+    return _woven(rest, kept)
 
 
 _NUM = r"-?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?"
@@ -95,7 +107,7 @@ def neutralize(md: Column) -> Column:
 
 
 def sanitize(md: Column, gate: str = "structural") -> Column:
-    return neutralize(gate_fences(balance_fences(demote_headings(md)), gate))
+    return let(demote_headings(md), lambda x: let(balance_fences(x), lambda y: neutralize(gate_fences(y, gate))))
 
 
 def redact(text: Column) -> Column:
@@ -116,37 +128,48 @@ def letters(text: Column) -> Column:
 
 def token_recall(reference: Column, candidate: Column) -> Column:
     """Share of the reference's distinct words that the candidate has; 1 without words."""
-    words = letters(reference)
-    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.array_intersect(words, letters(candidate))) / F.size(words))
+    return let(letters(reference), lambda words: F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.array_intersect(words, letters(candidate))) / F.size(words)))
 
 
 def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\p{Nd}+)"))
 
 
+def _numbered(rows: Column) -> Column:
+    """Texts with the how-manieth of its kind each is, by sorting: ``a a b`` as ``a#1 a#2 b#1`` (in runs)."""
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(heads, lambda h: F.flatten(F.transform(h, lambda at, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(h, k + 1), F.size(s)) - at), lambda n: F.concat(F.get(s, at), F.lit("#"), n.cast("string"))))))
+
+    return let(F.array_sort(rows), runs)
+
+
 def missing_numbers(witness: Column, description: Column) -> Column:
     """Digit runs that the witness has more often than the description, distinct, in numeric order."""
-    mine, theirs = numbers(witness), numbers(description)
-    many = lambda rows, x: F.size(F.filter(rows, lambda y: y == x))
-    gone = F.filter(F.array_distinct(mine), lambda x: many(mine, x) > many(theirs, x))
-    key = lambda x: F.struct(F.length(F.regexp_replace(x, "^0+", "")).alias("n"), F.regexp_replace(x, "^0+", "").alias("d"), x.alias("x"))
-    return F.transform(F.array_sort(F.transform(gone, key)), lambda s: s["x"])
+    left = F.array_except(_numbered(numbers(witness)), _numbered(numbers(description)))
+    gone = F.array_distinct(F.transform(left, lambda x: F.regexp_extract(x, "^([^#]*)", 1)))
+    digits = lambda x: F.regexp_replace(x, "^0+", "")
+    return F.transform(F.array_sort(F.transform(gone, lambda x: F.struct(F.length(digits(x)).alias("n"), digits(x).alias("d"), x.alias("x")))), lambda s: s["x"])
 
 
 def missing_side(gone: Column) -> Column:
     """The first ones and how many more; ``none`` if there are none."""
-    more = F.size(gone) - SHOWN_NUMBERS
-    text = F.concat(F.array_join(F.slice(gone, 1, SHOWN_NUMBERS), ","), F.when(more > 0, F.concat(F.lit("…+"), more.cast("string"))).otherwise(""))
-    return F.when(F.size(gone) == 0, "none").otherwise(text)
+
+    def told(g: Column) -> Column:
+        more = F.size(g) - SHOWN_NUMBERS
+        text = F.concat(F.array_join(F.slice(g, 1, SHOWN_NUMBERS), ","), F.when(more > 0, F.concat(F.lit("…+"), more.cast("string"))).otherwise(""))
+        return F.when(F.size(g) == 0, "none").otherwise(text)
+
+    return let(gone, told)
 
 
-def witness_defects(witness: Column, description: Column, ident: Column, least: float = 0.8) -> Column:
+def witness_defects(witness: Column, description: Column, ident: Column, least: float | Column = 0.8) -> Column:
     """Defects of a description against the document's own captions; a signal, not an error."""
-    recall, gone = token_recall(witness, description), missing_numbers(witness, description)
-    low = F.when(recall < least, F.concat(F.lit("figure-witness-recall: "), ident, F.lit(" "), F.format_number(recall, 2)))
-    numeric = F.when(F.size(gone) > 0, F.concat(F.lit("figure-witness-numeric: "), ident, F.lit(" witness_only=["), missing_side(gone), F.lit("]")))
-    found = F.filter(F.array(low, numeric), lambda x: x.isNotNull())
-    return F.when(strip(witness) == "", F.array().cast("array<string>")).otherwise(found)
+    low = lambda r: F.when(r < least, F.concat(F.lit("figure-witness-recall: "), ident, F.lit(" "), F.format_number(r, 2)))
+    numeric = lambda side: F.when(side != "none", F.concat(F.lit("figure-witness-numeric: "), ident, F.lit(" witness_only=["), side, F.lit("]")))
+    found = F.array(let(token_recall(witness, description), low), let(missing_side(missing_numbers(witness, description)), numeric))
+    return F.when(strip(witness) == "", F.array().cast("array<string>")).otherwise(F.filter(found, lambda x: x.isNotNull()))
 
 
 _VERDICTS = (("hallucination", "yes", "vlm-judge-hallucination"), ("mermaid_fit", "no", "vlm-judge-mermaid"), ("language", "no", "vlm-judge-language"))

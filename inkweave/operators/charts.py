@@ -1,7 +1,7 @@
 """Chart facts to chart structs, by expressions and joins.
 
-``parse`` turns the raw struct of a chart part into a chart; ``assemble`` builds
-the same struct from long-form points of any table, densifying gaps.
+``parse`` turns the raw struct of a chart part into a chart; ``raw_of`` builds
+such a raw struct from long-form points of any table.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions.numbers import plain_numbers, safe_float, safe_int
-from inkweave.functions.text import rich_text
+from inkweave.functions.text import let, rich_text
 
 #: More points than a sheet has rows can't be meant; such a count or index is malformed.
 MOST_POINTS = 1 << 20
@@ -34,25 +34,35 @@ def is_stacked(plots: Column) -> Column:
     return F.exists(plots, lambda p: p["tag"].isin("barChart", "lineChart", "areaChart") & F.coalesce(p["grouping"].isin("stacked", "percentStacked"), F.lit(False)))
 
 
-def _points(cache: Column) -> tuple[Column, Column]:
-    """(count, valid points by index, the last of equal ones) of a cache."""
+def _points(cache: Column) -> Column:
+    """``n`` and the valid ``points`` by index, the last of equal ones, of a cache."""
     numbered = F.transform(cache["points"], lambda p, i: F.struct(safe_int(p["idx"]).alias("idx"), i.alias("ord"), p["v"].alias("v")))
     numbered = F.filter(numbered, lambda p: p["idx"].isNotNull() & (p["idx"] < MOST_POINTS))
     asked = safe_int(cache["pt_count"])
-    highest = F.array_max(F.transform(numbered, lambda p: p["idx"])) + 1
-    n = F.greatest(F.lit(0), F.coalesce(F.when(asked <= MOST_POINTS, asked), highest, F.lit(0)))
-    inside = F.array_sort(F.filter(numbered, lambda p: (p["idx"] >= 0) & (p["idx"] < n)))
-    last = F.filter(inside, lambda p, i: F.coalesce(F.get(inside, i + 1)["idx"] != p["idx"], F.lit(True)))
-    return n, last
+
+    def counted(rows: Column) -> Column:
+        highest = F.array_max(F.transform(rows, lambda p: p["idx"])) + 1
+        return F.struct(rows.alias("rows"), F.greatest(F.lit(0), F.coalesce(F.when(asked <= MOST_POINTS, asked), highest, F.lit(0))).alias("n"))
+
+    def lasts(x: Column) -> Column:
+        inside = F.array_sort(F.filter(x["rows"], lambda p: (p["idx"] >= 0) & (p["idx"] < x["n"])))
+        # the last of equal indexes is the one that the next doesn't repeat
+        last = let(inside, lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["idx"] != p["idx"], F.lit(True))))
+        return F.struct(x["n"].alias("n"), last.alias("points"))
+
+    return let(let(numbered, counted), lasts)
 
 
 def materialize(cache: Column) -> Column:
     """Texts at every index of a cache, null in gaps.  Linear: each point brings the gap before it."""
-    n, points = _points(cache)
     gap = lambda k: F.array_repeat(F.lit(None).cast("string"), F.greatest(k, F.lit(0)).cast("int"))
-    filled = F.flatten(F.transform(points, lambda p, i: F.concat(gap(p["idx"] - F.coalesce(F.get(points, i - 1)["idx"], F.lit(-1)) - 1), F.array(p["v"]))))
-    rest = n - 1 - F.coalesce(F.array_max(F.transform(points, lambda p: p["idx"])), F.lit(-1))
-    return F.when(F.coalesce(cache["present"], F.lit(False)), F.concat(filled, gap(rest))).otherwise(F.array().cast("array<string>"))
+
+    def filled(x: Column) -> Column:
+        points = x["points"]
+        shown = F.flatten(F.transform(points, lambda p, i: F.concat(gap(p["idx"] - F.when(i > 0, F.get(points, i - 1)["idx"]).otherwise(-1) - 1), F.array(p["v"]))))
+        return F.concat(shown, gap(x["n"] - 1 - F.coalesce(F.array_max(F.transform(points, lambda p: p["idx"])), F.lit(-1))))
+
+    return F.when(F.coalesce(cache["present"], F.lit(False)), let(_points(cache), filled)).otherwise(F.array().cast("array<string>"))
 
 
 def _texts(cache: Column) -> Column:
@@ -93,34 +103,30 @@ def parse(df: DataFrame, raw: str = "raw", to: str = "chart") -> DataFrame:
 # == from long-form points
 
 
-def grid(points: DataFrame, keys: list[str], count: str, idx: str, value: str, order: str) -> DataFrame:
-    """Dense rows ``keys, idx, value``: the index range of each cache joined with its points, of equal indexes the last by ``order``."""
-    valid = points.where(F.col(idx).isNotNull())
-    size = points.groupBy(*keys).agg(F.coalesce(F.max(count), F.max(idx) + 1, F.lit(0)).alias("n"))
-    cells = size.where("n > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("idx"))
-    last = valid.groupBy(*keys, F.col(idx).cast("int").alias("idx")).agg(F.max_by(value, order).alias("value"))
-    return cells.join(last, [*keys, "idx"], "left")
-
+def raw_of(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, raw``: the facts of a chart as a package would hold them, from rows ``keys, series_ord, series_name, kind, cat_ord, category, value, value_format, title, axis, stacked``.
 
-def assemble(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Chart structs from rows ``keys, series_ord, series_name, kind, cat_ord, category, value, value_format, title, axis, stacked``.
-
-    Missing (series, category) cells become nulls.  The type is the kind all
-    series share, or a combination.
+    Values are sparse points at their category's place; ``parse`` makes a chart
+    of the result.  Two aggregations over one pass of the points.
     """
-    cats = points.select(*keys, "cat_ord", "category").distinct()
-    names = points.groupBy(*keys, "series_ord").agg(F.max("series_name").alias("series_name"), F.max("kind").alias("kind"))
-    cells = names.join(cats, keys).join(points.select(*keys, "series_ord", "cat_ord", "value"), [*keys, "series_ord", "cat_ord"], "left")
-    series = cells.groupBy(*keys, "series_ord").agg(F.max("series_name").alias("name"), F.max("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("cat_ord", "value"))).alias("v"))
-    series = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("series_ord", "name", F.transform("v", lambda x: x["value"]).alias("values"), "kind"))).alias("s"))
-    heads = points.groupBy(*keys).agg(F.max("title").alias("title"), F.max("axis").alias("value_axis_title"), F.max("value_format").alias("value_format"), F.max("stacked").alias("stacked"))
-    labels = cats.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("cat_ord", "category"))), lambda x: x["category"]).alias("categories"))
-    kinds = F.array_distinct(F.transform("s", lambda x: x["kind"]))
-    kind = F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise("combo")
-    chart = F.struct(kind.alias("chart_type"), "title", "value_axis_title", "value_format", "stacked", "categories", F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["values"].alias("values"), x["kind"].alias("kind"))).alias("series"))
-    return series.join(heads, keys).join(labels, keys).select(*keys, chart.alias("chart"))
-
-
-def first_by(value: Column, order: list[str], keys: list[str]) -> Column:
-    """First non-null value of a group in an order, for every row of it."""
-    return F.first_value(value, F.lit(True)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    spot = F.dense_rank().over(Window.partitionBy(*keys).orderBy("cat_ord")) - 1
+    point = lambda i, v: F.struct(i.alias("idx"), v.alias("v"))
+    heads = [F.max(c).alias(c) for c in ("title", "axis", "value_format", "stacked")]
+    rows = points.withColumn("spot", spot).groupBy(*keys, "series_ord").agg(
+        F.max("series_name").alias("name"), F.max("kind").alias("kind"), *heads,
+        F.collect_list(point(F.col("spot"), F.col("value").cast("string"))).alias("val"), F.collect_set(point(F.col("spot"), F.col("category"))).alias("cat"),
+    )
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("series_ord", "name", "kind", "val"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cat")))).alias("cat"), *heads)
+    texts = lambda ps: F.transform(ps, lambda p: F.struct(p["idx"].cast("string").alias("idx"), p["v"].alias("v")))
+    cache = lambda kind, code, n, ps: F.struct(F.lit(kind).alias("variant"), F.lit(True).alias("present"), code.cast("string").alias("format"), n.cast("string").alias("pt_count"), texts(ps).alias("points"))
+    tag = lambda kind: F.when(kind.isin("bar", "column"), "barChart").otherwise(F.concat(kind, F.lit("Chart")))
+    side = lambda kind: F.when(kind == "bar", "bar").when(kind == "column", "col")
+    n, nothing = F.size("cat"), F.lit(None)
+    series = F.transform("s", lambda x: F.struct(
+        tag(x["kind"]).alias("parent"), side(x["kind"]).alias("bar_dir"), cache("strRef", nothing, F.lit(1), F.array(point(F.lit(0), x["name"]))).alias("name"), nothing.cast("string").alias("name_text"),
+        cache("strRef", nothing, n, F.col("cat")).alias("cat"), cache("numRef", F.col("value_format"), n, x["val"]).alias("val"),
+    ))
+    plots = F.array_distinct(F.transform("s", lambda x: F.struct(tag(x["kind"]).alias("tag"), side(x["kind"]).alias("bar_dir"), F.when(F.col("stacked"), "stacked").otherwise("clustered").alias("grouping"))))
+    lines = lambda c: F.filter(F.array(c), lambda t: t.isNotNull())
+    raw = F.struct(lines(F.col("title")).alias("title"), F.lit(True).alias("has_plot"), plots.alias("plots"), F.array(lines(F.col("axis"))).alias("axis_titles"), series.alias("series"))
+    return rows.select(*keys, raw.alias("raw"))

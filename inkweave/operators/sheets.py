@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.functions.text import captions, sheet_chart_marker, strip
+from inkweave.functions.text import captions, let, sheet_chart_marker, strip
 from inkweave.operators import charts, package, render
 
+#: Cells of a used range, gaps included, that are written out one by one.
+MOST_CELLS = 5_000_000
 _BUILT_IN_DATES = tuple(f"#{k}" for k in (*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
 
 
@@ -41,20 +43,33 @@ def cell_text(cell: Column, shared: Column, dates: Column, date1904: Column) ->
 
 
 def table_text(rows: Column, shared: Column, dates: Column, date1904: Column) -> Column:
-    """A sheet's used range from A1; its first row is the header.  Null without cells."""
-    wide = F.array_max(F.transform(rows, lambda r: F.element_at(r["cells"], -1)["c"]))
+    """A sheet's used range from A1; its first row is the header.  Null without cells.
+
+    Linear in cells and gaps.  Where the range has more than ``MOST_CELLS``
+    cells, mostly gaps (a stray cell far away), rows end with their last cell and
+    a run of blank rows is one row that says how many; no cell is left out.
+    """
+    whole = F.struct(rows.alias("rows"), F.coalesce(F.array_max(F.transform(rows, lambda r: F.element_at(r["cells"], -1)["c"])), F.lit(0)).alias("wide"), dates.alias("dates"))
     blanks = lambda n: F.array_repeat(F.lit(""), F.greatest(n, F.lit(0)).cast("int"))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    def dense(r: Column) -> Column:
-        cells = r["cells"]
-        filled = F.flatten(F.transform(cells, lambda c, i: F.concat(blanks(c["c"] - F.coalesce(F.get(cells, i - 1)["c"], F.lit(0)) - 1), F.array(cell_text(c, shared, dates, date1904)))))
-        return line(F.concat(filled, blanks(wide - F.element_at(cells, -1)["c"])))
+    def written(x: Column) -> Column:
+        sparse = F.element_at(x["rows"], -1)["r"].cast("long") * x["wide"] > MOST_CELLS
+        pad = F.when(sparse, 0).otherwise(x["wide"])
+
+        def dense(cells: Column) -> Column:
+            filled = F.flatten(F.transform(cells, lambda c, i: F.concat(blanks(c["c"] - F.when(i > 0, F.get(cells, i - 1)["c"]).otherwise(0) - 1), F.array(cell_text(c, shared, x["dates"], date1904)))))
+            return line(F.concat(filled, blanks(pad - F.element_at(cells, -1)["c"])))
+
+        def gap(n: Column) -> Column:
+            told = F.array(F.concat(F.lit("| ("), n.cast("string"), F.lit(" blank rows) |")))
+            return F.when(n <= 0, F.slice(F.array(F.lit("")), 1, 0)).when(sparse & (n > 1), told).otherwise(F.array_repeat(line(blanks(x["wide"])), n.cast("int")))
+
+        lines = F.flatten(F.transform(x["rows"], lambda r, i: F.concat(gap(r["r"] - F.when(i > 0, F.get(x["rows"], i - 1)["r"]).otherwise(0) - 1), F.array(dense(r["cells"])))))
+        rule = line(F.array_repeat(F.lit("---"), x["wide"]))
+        return let(lines, lambda t: F.array_join(F.concat(F.slice(t, 1, 1), F.array(rule), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0)))), "\n"))
 
-    empty = line(blanks(wide))
-    lines = F.flatten(F.transform(rows, lambda r, i: F.concat(F.array_repeat(empty, F.greatest(r["r"] - F.coalesce(F.get(rows, i - 1)["r"], F.lit(0)) - 1, F.lit(0)).cast("int")), F.array(dense(r)))))
-    rule = line(F.array_repeat(F.lit("---"), wide))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
+    return F.when(F.size(rows) > 0, let(whole, written))
 
 
 def section(name: Column, state: Column, body: Column, blocks: Column) -> Column:
@@ -75,9 +90,8 @@ def chart_blocks(found: DataFrame, gate: str = "structural") -> DataFrame:
 def workbooks(shredded: DataFrame, gate: str = "structural") -> DataFrame:
     """``source_id, markdown, charts_found, charts_rendered, has_content`` of readable workbooks."""
     links = package.rels(shredded)
-    dates = F.transform("formats", is_date)
-    bodies = shredded.select("source_id", F.transform("sheet_rows", lambda s: F.struct(s["part"].alias("part"), table_text(s["rows"], F.col("shared"), dates, F.col("date1904")).alias("body"))).alias("b"))
-    bodies = bodies.select("source_id", F.explode("b").alias("b")).select("source_id", F.col("b.part").alias("sheet_part"), "b.body")
+    bodies = shredded.select("source_id", "shared", F.transform("formats", is_date).alias("dates"), "date1904", F.explode("sheet_rows").alias("s"))
+    bodies = bodies.select("source_id", F.col("s.part").alias("sheet_part"), table_text(F.col("s.rows"), F.col("shared"), F.col("dates"), F.col("date1904")).alias("body"))
     every = shredded.select("source_id", F.explode("sheets").alias("s")).select("source_id", F.col("s.ord").alias("sheet_ord"), F.col("s.name").alias("sheet"), F.col("s.state").alias("state"))
     parts = package.sheet_parts(shredded, links).select("source_id", "sheet_ord", "sheet_part")
     blocks = chart_blocks(package.sheet_charts(shredded), gate)

@@ -23,7 +23,7 @@ def _points(df: DataFrame, chart, series, kind, category, value, order, title: s
 
 
 def _markdown(points: DataFrame) -> DataFrame:
-    return render.with_markdown(charts.assemble(points, ["chart_id"])).select("chart_id", "markdown")
+    return render.with_markdown(charts.parse(charts.raw_of(points, ["chart_id"]))).select("chart_id", "markdown")
 
 
 def _sql(points: str, title: str, axis: str | None, value: str, diagram: str = "NULL") -> str:
@@ -130,9 +130,13 @@ CHART_COMBO_KIND = _sql(
 
 
 def sparse_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours of each user as cache points: gaps are null, of equal indexes the last event counts."""
-    points = table(spark, sf_dir, "events").select("user_id", F.datediff("ts", F.lit("2024-01-01")).alias("idx"), "value", F.struct("ts", "event_id").alias("ord"), F.lit(None).cast("int").alias("pt_count"))
-    return charts.grid(points, ["user_id"], "pt_count", "idx", "value", "ord").select("user_id", "idx", "value")
+    """Days of each user as the points of a cache, in order of time: gaps are null, of equal indexes the last event counts."""
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    point = F.struct("ts", "event_id", day.cast("string").alias("idx"), F.col("value").cast("string").alias("v"))
+    df = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    cache = F.struct(F.lit("numRef").alias("variant"), F.lit(True).alias("present"), F.lit(None).cast("string").alias("format"), F.lit("many").alias("pt_count"), F.transform("p", lambda x: F.struct(x["idx"].alias("idx"), x["v"].alias("v"))).alias("points"))
+    dense = df.select("user_id", cache.alias("cache")).select("user_id", charts.materialize(F.col("cache")).alias("m"))
+    return dense.select("user_id", F.posexplode("m").alias("idx", "text")).select("user_id", "idx", safe_float(F.col("text")).alias("value"))
 
 
 SPARSE_MATERIALIZE = """
@@ -144,16 +148,22 @@ SELECT g.user_id, g.idx::INT AS idx, v.value FROM g LEFT JOIN v USING (user_id,
 
 
 def first_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first purchase property and first property at all, in order of time."""
+    """Each user's events as the series of a chart, in order of time: purchases have their properties as category, all have a number format."""
     df = table(spark, sf_dir, "events")
-    order = ["ts", "event_id"]
-    bought = F.when(F.col("event_type") == "purchase", F.col("props"))
-    made = df.select("user_id", charts.first_by(bought, order, ["user_id"]).alias("first_purchase"), charts.first_by(F.col("props"), order, ["user_id"]).alias("first_props"))
-    return made.distinct()
+    cache = lambda kind, code, v: F.struct(F.lit(kind).alias("variant"), F.lit(True).alias("present"), code.cast("string").alias("format"), F.lit("1").alias("pt_count"), F.array(F.struct(F.lit("0").alias("idx"), v.cast("string").alias("v"))).alias("points"))
+    bought = F.when(F.col("event_type") == "purchase", cache("strRef", F.lit(None), F.col("props")))
+    series = F.struct(F.lit("lineChart").alias("parent"), F.lit(None).cast("string").alias("bar_dir"), cache("strRef", F.lit(None), F.col("event_type")).alias("name"), F.lit(None).cast("string").alias("name_text"), bought.alias("cat"), cache("numRef", F.col("props"), F.col("value")).alias("val"))
+    raw = df.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", series.alias("s")))).alias("s"))
+    plots = F.array(F.struct(F.lit("lineChart").alias("tag"), F.lit(None).cast("string").alias("bar_dir"), F.lit("stacked").alias("grouping")))
+    none = F.array().cast("array<string>")
+    raw = raw.select("user_id", F.struct(none.alias("title"), F.lit(True).alias("has_plot"), plots.alias("plots"), F.array(none, F.array(F.lit(" "), F.lit("Value"), F.lit("of it"))).alias("axis_titles"), F.transform("s", lambda x: x["s"]).alias("series")).alias("raw"))
+    c = charts.parse(raw).select("user_id", "chart.*")
+    return c.select("user_id", F.get("categories", F.lit(0)).alias("first_purchase"), F.col("value_format").alias("first_props"), "chart_type", "stacked", "value_axis_title", F.size("series").alias("n_series"), F.get("series", F.lit(0))["name"].alias("first_name"))
 
 
 FIRST_CATEGORIES = """
-SELECT user_id, arg_min(props, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS first_purchase, arg_min(props, (ts, event_id)) AS first_props
+SELECT user_id, arg_min(props, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS first_purchase, arg_min(props, (ts, event_id)) AS first_props,
+  'line' AS chart_type, true AS stacked, 'Value of it' AS value_axis_title, count(*)::INT AS n_series, arg_min(event_type, (ts, event_id)) AS first_name
 FROM events GROUP BY user_id"""
 
 
@@ -175,8 +185,8 @@ FORMATS = ("", "General", "#,##0.000", "0", "0.0%", "0.00;-0.00", "0%")
 def value_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item's discounted price under each number format."""
     value = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"), F.explode(F.array(*map(F.lit, FORMATS))).alias("code"))
-    df = df.withColumn("four", four_digits("value"))
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value")).withColumn("four", four_digits("value"))
+    df = df.withColumn("code", F.explode(F.array(*map(F.lit, FORMATS))))
     return df.select("l_orderkey", "l_linenumber", "code", formatted(F.col("value"), F.col("code"), F.col("four")).alias("shown"))
 
 

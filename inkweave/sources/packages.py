@@ -26,8 +26,8 @@ MAX_MEMBER = 128 << 20
 MAX_TOTAL = 512 << 20
 MAX_ENTRIES = 10_000
 CHUNK = 1 << 20
-#: Cells of a sheet's used range, gaps included; more is a trap, not a sheet.
-MAX_CELLS = 5_000_000
+#: Names of packages, however their suffix is spelt, as a file pattern.
+ANY_CASE = "*.{[dD][oO][cC][xX],[xX][lL][sS][xX]}"
 MAX_ROW, MAX_COLUMN = 1 << 20, 1 << 14
 
 RUN = "struct<kind:string,text:string,bold:boolean,italic:boolean,href:string,ref:string>"
@@ -303,10 +303,7 @@ def _sheet(root: Node) -> list[dict]:
         cells = [x for x in cells if x["c"] <= MAX_COLUMN]
         if cells and r <= MAX_ROW:
             rows.append({"r": r, "cells": sorted({x["c"]: x for x in cells}.values(), key=lambda x: x["c"])})
-    rows = sorted({x["r"]: x for x in rows}.values(), key=lambda x: x["r"])
-    if rows and rows[-1]["r"] * max(x["cells"][-1]["c"] for x in rows) > MAX_CELLS:
-        raise Refused(f"a sheet's used range has more than {MAX_CELLS} cells")
-    return rows
+    return sorted({x["r"]: x for x in rows}.values(), key=lambda x: x["r"])
 
 
 def _xlsx(z: zipfile.ZipFile, names: set[str], out: dict) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkweave.engine import Config, convert
-from inkweave.sources.packages import format_of
+from inkweave.sources.packages import ANY_CASE, format_of
 
 
 def convert_stream(spark: SparkSession, path: str, out: str, checkpoint: str, config: Config = Config(), files_per_batch: int = 1000) -> StreamingQuery:
@@ -17,7 +17,7 @@ def convert_stream(spark: SparkSession, path: str, out: str, checkpoint: str, co
     failure replaces its rows.
     """
     kind = "path string, modificationTime timestamp, length bigint, content binary"
-    arrived = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{docx,xlsx}").option("maxFilesPerTrigger", files_per_batch).load(path)
+    arrived = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", ANY_CASE).option("maxFilesPerTrigger", files_per_batch).load(path)
     source = arrived.select(F.col("path").alias("source_id"), format_of(F.col("path")).alias("format"), "content")
 
     def write(df: DataFrame, number: int) -> None:
