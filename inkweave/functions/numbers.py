@@ -62,8 +62,15 @@ def fixed(value: Column, digits: Column) -> Column:
     return F.call_function("format_number", value, digits.cast("int"))
 
 
-def formatted(value: Column, code: Column, four: Column) -> Column:
-    """A value in its number format; ``four`` is its four-digit text, used where the format has no digits."""
-    percent = F.concat(F.replace(fixed(value * 100, decimals(F.regexp_extract(code, r"^([^%]*)", 1))), F.lit(","), F.lit("")), F.lit("%"))
-    shown = F.when(F.instr(code, "%") > 0, percent).when(code.rlike("[0#]"), fixed(value, decimals(code))).otherwise(four)
+def style(code: Column) -> Column:
+    """What a number format asks for, so that it is read once for many values: ``percent``, ``shown`` (it has digits) and ``digits``."""
+    percent = F.instr(code, "%") > 0
+    digits = F.when(percent, decimals(F.regexp_extract(code, r"^([^%]*)", 1))).otherwise(decimals(code))
+    return F.struct(percent.alias("percent"), code.rlike("[0#]").alias("shown"), digits.alias("digits"))
+
+
+def formatted(value: Column, how: Column, four: Column) -> Column:
+    """A value in the style of its number format; ``four`` is its four-digit text, used where the format has no digits."""
+    percent = F.concat(F.replace(fixed(value * 100, how["digits"]), F.lit(","), F.lit("")), F.lit("%"))
+    shown = F.when(how["percent"], percent).when(how["shown"], fixed(value, how["digits"])).otherwise(four)
     return F.when(value.isNull(), "").otherwise(shown)

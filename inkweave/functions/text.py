@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,21 @@ GROUP_MARK = r"> \[Figure, docx group ([0-9a-f]{12}) — composite content not a
 RASTER = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "bmp": "bmp", "tif": "tiff", "tiff": "tiff"}
 
 
+def built(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keeps the expression that ``make`` builds of names and flags: large ones take seconds of calls to the JVM."""
+    kept: dict = {}
+
+    @wraps(make)
+    def once(*names):
+        key = (SparkContext._gateway, *names)
+        if key not in kept:
+            kept.clear() if kept and next(iter(kept))[0] is not key[0] else None
+            kept[key] = make(*names)
+        return kept[key]
+
+    return once
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

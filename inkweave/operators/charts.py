@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions.numbers import plain_numbers, safe_float, safe_int
-from inkweave.functions.text import let, rich_text
+from inkweave.functions.text import built, let, rich_text
+from inkweave.schemas import RAW_SERIES
 
 #: More points than a sheet has rows can't be meant; such a count or index is malformed.
 MOST_POINTS = 1 << 20
@@ -73,31 +74,43 @@ def _doubles(cache: Column) -> Column:
     return F.transform(materialize(cache), safe_float)
 
 
-def parse(df: DataFrame, raw: str = "raw", to: str = "chart") -> DataFrame:
-    """Adds the chart struct of a raw chart column; a null raw chart is an empty chart."""
-    r = F.col(raw)
-    made = df.withColumn("_series", F.transform(F.coalesce(r["series"], F.array().cast(df.schema[raw].dataType["series"].dataType)), lambda s: F.struct(
+@built
+def _series(raw: str) -> Column:
+    none = F.array()
+    return F.transform(F.coalesce(F.col(raw)["series"], none.cast(f"array<{RAW_SERIES}>")), lambda s: F.struct(
         F.when(s["name"].isNotNull(), F.nullif(F.get(_texts(s["name"]), F.lit(0)), F.lit(""))).otherwise(s["name_text"]).alias("name"),
-        F.coalesce(_doubles(s["val"]), F.array().cast("array<double>")).alias("values"),
+        F.coalesce(_doubles(s["val"]), none.cast("array<double>")).alias("values"),
         tag_type(s["parent"], s["bar_dir"]).alias("kind"),
         s["val"]["format"].alias("format"),
         s["cat"]["variant"].alias("variant"),
-        F.coalesce(F.when(s["cat"]["variant"].startswith("str"), _texts(s["cat"])), F.array().cast("array<string>")).alias("labels"),
-        F.coalesce(F.when(s["cat"]["variant"].startswith("num"), _doubles(s["cat"])), F.array().cast("array<double>")).alias("figures"),
-    )))
-    # the first series that has categories, wherever it stands, gives them
-    first = F.get(F.filter("_series", lambda s: (F.size(s["labels"]) > 0) | (F.size(s["figures"]) > 0)), F.lit(0))
-    made = made.withColumn("_first", first)
-    categories = F.when(F.col("_first.variant").startswith("num"), plain_numbers("_first.figures")).otherwise(F.coalesce("_first.labels", F.array().cast("array<string>")))
-    made = made.withColumn("_categories", categories)
+        F.coalesce(F.when(s["cat"]["variant"].startswith("str"), _texts(s["cat"])), none.cast("array<string>")).alias("labels"),
+        F.coalesce(F.when(s["cat"]["variant"].startswith("num"), _doubles(s["cat"])), none.cast("array<double>")).alias("figures"),
+    ))
+
+
+@built
+def _first() -> Column:
+    """The first series that has categories, wherever it stands, gives them."""
+    return F.get(F.filter("_series", lambda s: (F.size(s["labels"]) > 0) | (F.size(s["figures"]) > 0)), F.lit(0))
+
+
+@built
+def _chart(raw: str) -> Column:
+    r = F.col(raw)
     plots = F.coalesce(r["plots"], F.array().cast("array<struct<tag:string,bar_dir:string,grouping:string>>"))
     axis = F.get(F.filter(F.transform(r["axis_titles"], rich_text), lambda t: t.isNotNull()), F.lit(0))
     code = F.get(F.filter(F.transform("_series", lambda s: s["format"]), lambda f: f.isNotNull()), F.lit(0))
-    chart = F.struct(
+    return F.struct(
         chart_type(plots).alias("chart_type"), rich_text(r["title"]).alias("title"), axis.alias("value_axis_title"), code.alias("value_format"), is_stacked(plots).alias("stacked"),
         F.coalesce("_categories", F.array().cast("array<string>")).alias("categories"), F.transform("_series", lambda s: F.struct(s["name"].alias("name"), s["values"].alias("values"), s["kind"].alias("kind"))).alias("series"),
     )
-    return made.withColumn(to, chart).drop("_series", "_first", "_categories")
+
+
+def parse(df: DataFrame, raw: str = "raw", to: str = "chart") -> DataFrame:
+    """Adds the chart struct of a raw chart column; a null raw chart is an empty chart."""
+    made = df.withColumn("_series", _series(raw)).withColumn("_first", _first())
+    categories = F.when(F.col("_first.variant").startswith("num"), plain_numbers("_first.figures")).otherwise(F.coalesce("_first.labels", F.array().cast("array<string>")))
+    return made.withColumn("_categories", categories).withColumn(to, _chart(raw)).drop("_series", "_first", "_categories")
 
 
 # == from long-form points

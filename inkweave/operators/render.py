@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.functions.numbers import formatted, four_digits_nested
-from inkweave.functions.text import accepted, label, slug
+from inkweave.functions.numbers import formatted, four_digits_nested, style
+from inkweave.functions.text import accepted, built, label, let, slug
 
 FENCE, CLOSE = "```mermaid\n", "\n```"
 
@@ -33,8 +33,9 @@ def markdown_table(chart: Column, four: Column) -> Column:
     names = F.transform(chart["series"], lambda s, i: F.coalesce(F.nullif(s["name"], F.lit("")), F.concat(F.lit("Series "), (i + 1).cast("string"))))
     row = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     header = F.concat(F.array(F.lit("Category")), names)
-    cell = lambda s, k, i: F.coalesce(formatted(F.get(s["values"], i), F.coalesce(chart["value_format"], F.lit("")), F.get(F.get(four, k), i)), F.lit(""))
-    body = F.transform(labels, lambda c, i: row(F.concat(F.array(F.replace(c, F.lit("\n"), F.lit(" "))), F.transform(chart["series"], lambda s, k: cell(s, k, i)))))
+    cell = lambda how, s, k, i: F.coalesce(formatted(F.get(s["values"], i), how, F.get(F.get(four, k), i)), F.lit(""))
+    line = lambda how, c, i: row(F.concat(F.array(F.replace(c, F.lit("\n"), F.lit(" "))), F.transform(chart["series"], lambda s, k: cell(how, s, k, i))))
+    body = let(style(F.coalesce(chart["value_format"], F.lit(""))), lambda how: F.transform(labels, lambda c, i: line(how, c, i)))
     return F.array_join(F.concat(F.array(row(header), row(F.transform(header, lambda _: F.lit("---")))), body), "\n")
 
 
@@ -74,21 +75,42 @@ def radar(chart: Column, four: Column) -> Column:
     return F.when(shape_ok(chart), F.array_join(F.concat(head, F.transform(chart["series"], curve)), "\n"))
 
 
+@built
+def _code(chart: str) -> Column:
+    c = F.col(chart)
+    four, last, kind = F.col("_four"), F.element_at("_four", -1), c["chart_type"]
+    code = F.when(kind.isin("pie", "doughnut"), pie(c, four)).when(kind.isin("area", "combo", "line", "bar", "column"), xychart(c, four, last)).when(kind == "radar", radar(c, four))
+    return F.when(has_values(c), code)
+
+
+@built
+def _values(chart: str) -> Column:
+    """All values, those of the axis' ends last."""
+    c = F.col(chart)
+    ends = F.when(shape_ok(c) & (F.size(c["series"]) > 0), F.array(extremes(c)))
+    return F.concat(F.transform(c["series"], lambda s: s["values"]), F.coalesce(ends, F.array().cast("array<array<double>>")))
+
+
+@built
+def _whole(chart: str) -> Column:
+    c = F.col(chart)
+    whole = F.concat_ws("\n\n", caption(c), F.concat(F.lit(FENCE), F.col("diagram"), F.lit(CLOSE)), markdown_table(c, F.col("_four")))
+    return F.when(has_values(c), whole)
+
+
+@built
+def _kept() -> Column:
+    return F.when(accepted(F.col("diagram")), F.col("diagram"))
+
+
 def with_markdown(df: DataFrame, chart: str = "chart", to: str = "markdown", gate: str = "structural") -> DataFrame:
     """Adds the chart's Markdown (null without any value) and ``diagram``, its code or null.
 
     ``gate``: ``structural`` keeps a diagram only if the grammar accepts it,
     ``off`` keeps any, ``none`` draws none.
     """
-    c = F.col(chart)
-    ends = F.when(shape_ok(c) & (F.size(c["series"]) > 0), F.array(extremes(c)))
-    df = df.withColumn("_four", four_digits_nested(F.concat(F.transform(c["series"], lambda s: s["values"]), F.coalesce(ends, F.array().cast("array<array<double>>")))))
-    four, last = F.col("_four"), F.element_at("_four", -1)
-    kind = c["chart_type"]
-    code = F.when(kind.isin("pie", "doughnut"), pie(c, four)).when(kind.isin("area", "combo", "line", "bar", "column"), xychart(c, four, last)).when(kind == "radar", radar(c, four))
-    code = F.when(has_values(c) & F.lit(gate != "none"), code)
-    df = df.withColumn("diagram", code)
+    df = df.withColumn("_four", four_digits_nested(_values(chart)))
+    df = df.withColumn("diagram", _code(chart) if gate != "none" else F.lit(None).cast("string"))
     if gate == "structural":
-        df = df.withColumn("diagram", F.when(accepted(F.col("diagram")), F.col("diagram")))
-    whole = F.concat_ws("\n\n", caption(c), F.concat(F.lit(FENCE), F.col("diagram"), F.lit(CLOSE)), markdown_table(c, four))
-    return df.withColumn(to, F.when(has_values(c), whole)).drop("_four")
+        df = df.withColumn("diagram", _kept())
+    return df.withColumn(to, _whole(chart)).drop("_four")

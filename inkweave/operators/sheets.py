@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.functions.text import captions, let, sheet_chart_marker, strip
+from inkweave.functions.text import built, captions, let, sheet_chart_marker, strip
 from inkweave.operators import charts, package, render
 
 #: Cells of a used range, gaps included, that are written out one by one.
@@ -72,6 +72,11 @@ def table_text(rows: Column, shared: Column, dates: Column, date1904: Column) ->
     return F.when(F.size(rows) > 0, let(whole, written))
 
 
+@built
+def _body() -> Column:
+    return table_text(F.col("s.rows"), F.col("shared"), F.col("dates"), F.col("date1904"))
+
+
 def section(name: Column, state: Column, body: Column, blocks: Column) -> Column:
     """A sheet's heading, table and charts, or a note that it is empty."""
     heading = F.concat(F.lit("## "), name, F.when(state == "visible", "").otherwise(" (hidden)"))
@@ -91,7 +96,7 @@ def workbooks(shredded: DataFrame, gate: str = "structural") -> DataFrame:
     """``source_id, markdown, charts_found, charts_rendered, has_content`` of readable workbooks."""
     links = package.rels(shredded)
     bodies = shredded.select("source_id", "shared", F.transform("formats", is_date).alias("dates"), "date1904", F.explode("sheet_rows").alias("s"))
-    bodies = bodies.select("source_id", F.col("s.part").alias("sheet_part"), table_text(F.col("s.rows"), F.col("shared"), F.col("dates"), F.col("date1904")).alias("body"))
+    bodies = bodies.select("source_id", F.col("s.part").alias("sheet_part"), _body().alias("body"))
     every = shredded.select("source_id", F.explode("sheets").alias("s")).select("source_id", F.col("s.ord").alias("sheet_ord"), F.col("s.name").alias("sheet"), F.col("s.state").alias("state"))
     parts = package.sheet_parts(shredded, links).select("source_id", "sheet_ord", "sheet_part")
     blocks = chart_blocks(package.sheet_charts(shredded), gate)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkweave.functions.numbers import formatted, four_digits, plain_number, safe_float, safe_int
+from inkweave.functions.numbers import formatted, four_digits, plain_number, safe_float, safe_int, style
 from inkweave.functions.text import label, slug
 from inkweave.operators import charts, render
-from inkweave.sources.tables import table
+from inkweave.sources.tables import spread, table
 
 
 def _money(column: str):
@@ -185,9 +185,10 @@ FORMATS = ("", "General", "#,##0.000", "0", "0.0%", "0.00;-0.00", "0%")
 def value_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item's discounted price under each number format."""
     value = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value")).withColumn("four", four_digits("value"))
-    df = df.withColumn("code", F.explode(F.array(*map(F.lit, FORMATS))))
-    return df.select("l_orderkey", "l_linenumber", "code", formatted(F.col("value"), F.col("code"), F.col("four")).alias("shown"))
+    df = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))).withColumn("four", four_digits("value"))
+    codes = F.array(*(F.struct(F.lit(c).alias("code"), style(F.lit(c)).alias("how")) for c in FORMATS))
+    df = df.withColumn("c", F.explode(codes))
+    return df.select("l_orderkey", "l_linenumber", "c.code", formatted(F.col("value"), F.col("c.how"), F.col("four")).alias("shown"))
 
 
 VALUE_FORMAT = """

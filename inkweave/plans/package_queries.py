@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +14,7 @@ from inkweave.functions import html
 from inkweave.functions import text as X
 from inkweave.operators import package, sheets
 from inkweave.sources import batch, builder
-from inkweave.sources.tables import table
+from inkweave.sources.tables import shared_dir, spread, table
 from inkweave.streaming import ingest
 
 
@@ -73,12 +71,12 @@ SHEET_TABLE, SHEET_EMPTY = _sheet_sql("1e9"), _sheet_sql("-985.0")
 
 
 def rel_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as parts: targets resolved from each url's folder, then followed to the customer of that key; as in the SQL, pages whose id 5 divides aren't asked for."""
+    """Pages as parts: targets resolved from each url's folder, then followed to the customer of that key."""
     part = F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)
     target = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/pages//"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("../x/./"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("a/../b/"), F.col("page_id").cast("string")))
     df = table(spark, sf_dir, "pages").select("page_id", part.alias("source_part"), target.alias("target"))
     links = df.select(F.lit("all").alias("source_id"), "source_part", F.col("page_id").cast("string").alias("rel_id"), X.resolve(F.col("source_part"), F.col("target")).alias("part"), "page_id")
-    asked = df.select(F.lit("all").alias("source_id"), F.col("source_part").alias("at"), F.col("page_id").cast("string").alias("rid"), "page_id").where("page_id % 5 <> 0")
+    asked = df.select(F.lit("all").alias("source_id"), F.col("source_part").alias("at"), F.col("page_id").cast("string").alias("rid"), "page_id")
     followed = package.follow(asked, links.drop("page_id"), "at", "rid", "part")
     names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return followed.join(names, F.col("page_id") == F.col("c_custkey"), "left").select("page_id", "part", "c_name")
@@ -88,7 +86,7 @@ REL_RESOLUTION = r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS s FROM pages),
 f AS (SELECT *, regexp_extract(s, '^(.*/)?[^/]*$', 1) AS folder FROM p)
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pages/' || page_id WHEN 1 THEN regexp_replace(rtrim(folder, '/'), '[^/]+$', '') || 'x/' || page_id ELSE folder || 'b/' || page_id END AS part, c_name
-FROM f LEFT JOIN customer ON page_id = c_custkey WHERE page_id % 5 <> 0"""
+FROM f LEFT JOIN customer ON page_id = c_custkey"""
 
 
 def media_id12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +143,7 @@ COLLISIONS = rf"""WITH {_LISTING} SELECT regexp_replace(path, '\.[^./]*$', '') |
 
 
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.with_markdown(table(spark, sf_dir, "pages"), "page_id")
+    return html.with_markdown(spread(table(spark, sf_dir, "pages")), "page_id")
 
 
 def package_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +177,7 @@ SELECT c_nationkey || '.xlsx' AS source_id, 'ok' AS status, sha256(md) AS md_sha
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a file stream, aggregated by hour, to a table."""
-    at = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/inkweave-{os.getpid()}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     ingest.run_to_table(ingest.hourly(events.withColumn("ts", F.col("ts").cast("timestamp"))), f"{at}/out", f"{at}/state")

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from inkweave.functions import text as X
 from inkweave.operators import figures
-from inkweave.sources.tables import table
+from inkweave.sources.tables import spread, table
 
+#: Benchmark items that are sent to the documents at a time.
+ITEMS_AT_ONCE = 256
 _LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def caption_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,20 +33,30 @@ s AS (SELECT doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS caption, min(i
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, caption FROM s WHERE caption <> '' AND NOT regexp_full_match(caption, '-?[0-9]+')"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with one benchmark item, by number: as in the SQL, of the items 0 to 39 only; a document whose remainder has no item is left out."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    return _documents(spark, sf_dir).join(items, F.col("doc_id") % 40 == F.col("item_id"))
-
-
 def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("doc_id", "item_id", X.token_recall(F.col("item"), F.col("text")).alias("recall"))
+    """For every document, of all benchmark items the one whose words it has the largest share of (of equals, the smallest id).
+
+    The items are a stated query set, asked of all documents in blocks of about
+    ``ITEMS_AT_ONCE``; a block is one row that is sent to the documents.
+    """
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.letters(F.col("text")).alias("item"))
+    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    words = _documents(spark, sf_dir).select("doc_id", X.letters(F.col("text")).alias("words"))
+    share = lambda i: F.when(F.size(i["item"]) == 0, 1.0).otherwise(F.size(F.array_intersect(i["item"], F.col("words"))) / F.size(i["item"]))
+    best = F.array_max(F.transform("items", lambda i: F.struct(share(i).alias("recall"), (-i["item_id"]).alias("back"))))
+    asked = None
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("item_id", "item")).alias("items")).withColumn("block", F.lit(b))
+        one = words.withColumn("block", F.lit(b)).join(F.broadcast(block), "block").select("doc_id", best.alias("best"))
+        asked = one if asked is None else asked.unionByName(one)
+    return asked.groupBy("doc_id").agg(F.max("best").alias("best")).select("doc_id", (-F.col("best.back")).alias("item_id"), "best.recall")
 
 
 TOKEN_RECALL = rf"""
-WITH p AS (SELECT doc_id, item_id, d.text, b.text AS item FROM documents d JOIN benchmark b ON doc_id % 40 = item_id),
-w AS (SELECT doc_id, item_id, list_distinct([lower(x) FOR x IN regexp_extract_all(item, '{_LETTERS}')]) AS a, list_distinct([lower(x) FOR x IN regexp_extract_all(text, '{_LETTERS}')]) AS b FROM p)
-SELECT doc_id, item_id, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a)::DOUBLE END AS recall FROM w"""
+WITH a AS (SELECT doc_id, list_distinct([lower(x) FOR x IN regexp_extract_all(text, '{_LETTERS}')]) AS a FROM documents),
+b AS (SELECT item_id, list_distinct([lower(x) FOR x IN regexp_extract_all(text, '{_LETTERS}')]) AS b FROM benchmark),
+r AS (SELECT doc_id, item_id, CASE WHEN len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(b, a))::DOUBLE / len(b)::DOUBLE END AS recall FROM a, b)
+SELECT doc_id, item_id, recall FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY recall DESC, item_id) = 1"""
 
 
 def _neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:

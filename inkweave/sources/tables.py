@@ -8,11 +8,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files below which a table is spread before costly expressions.
+SMALL_BYTES = 32 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, if they are so few bytes that their files make a task or two."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs on one machine."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
