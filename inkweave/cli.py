@@ -56,7 +56,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if path.is_file() and path.suffix.lower() not in SUFFIXES:
             p.error(f"{path}: neither .docx nor .xlsx")
         if not path.is_file() and not path.is_dir():
-            p.error(f"{path}: not a regular file")
+            _say(f"error: {path}: not a regular file")
+            return CODES["corrupt_archive"]
     many = len(paths) > 1 or any(path.is_dir() for path in paths)
     if not paths and args.format is None:
         p.error("--format is required when reading from standard input")

@@ -18,9 +18,9 @@ MAIN = "word/document.xml"
 
 
 def _maps(shredded: DataFrame, gate: str) -> DataFrame:
-    """Adds ``links`` (relationship to part), ``pictures`` (part to id and size), ``plots`` (chart part to Markdown and captions) and ``referenced`` (ids)."""
+    """Adds ``links`` (relationship to part, or to a hyperlink's target), ``pictures`` (part to id and size), ``plots`` (chart part to Markdown and captions) and ``referenced`` (ids)."""
     own = F.filter("rels", lambda r: r["source_part"] == MAIN)
-    links = F.map_from_entries(F.transform(own, lambda r: F.struct(r["rel_id"], resolve(r["source_part"], r["target"]))))
+    links = F.map_from_entries(F.transform(own, lambda r: F.struct(r["rel_id"], F.when(r["rel_type"].endswith("/hyperlink"), r["target"]).otherwise(resolve(r["source_part"], r["target"])))))
     pictures = F.map_from_entries(F.transform("media", lambda m: F.struct(m["part"], F.struct(m["id12"].alias("id12"), m["n_bytes"].alias("n_bytes")))))
     image = F.filter("rels", lambda r: r["used"] & r["rel_type"].endswith("/image") & r["source_part"].startswith("word/") & r["source_part"].endswith(".xml"))
     df = shredded.withColumn("links", links).withColumn("pictures", pictures)
@@ -45,7 +45,7 @@ def _inline(run: Column, links: Column, figures: Column) -> Column:
     linked = F.when(target.isNotNull(), F.concat(F.lit("["), dressed, F.lit("]("), target, F.lit(")"))).otherwise(dressed)
     ends = lambda pattern: F.when(text.rlike(pattern), " ").otherwise("")
     word = F.when(core == "", F.when(text == "", "").otherwise(" ")).otherwise(F.concat(ends(r"^\s"), linked, ends(r"\s$")))
-    note = F.concat(F.lit("[["), run["text"], F.lit("]](#"), run["ref"], F.lit("-"), run["text"], F.lit(")"))
+    note = F.concat(F.lit("[["), run["text"], F.lit("]](#"), run["ref"], F.lit(")"))
     return F.when(run["kind"] == "text", word).when(run["kind"] == "break", "  \n").when(run["kind"] == "note", note).when(run["kind"] == "figure", F.concat(F.lit("\n\n"), F.get(figures, run["ref"].cast("int"))["block"], F.lit("\n\n"))).when(run["kind"] == "image", F.get(F.filter(figures, lambda f: f["rid"] == run["ref"]), F.lit(0))["block"]).otherwise("")
 
 
@@ -71,12 +71,11 @@ def documents(shredded: DataFrame, gate: str = "structural") -> DataFrame:
     links, figs = F.col("links"), F.col("figs")
 
     named = lambda b: F.lower(F.coalesce(F.get(F.filter("styles", lambda s: s["id"] == b["style"]), F.lit(0))["name"], F.regexp_replace(b["style"], r"(?i)^heading(\d)$", "heading $1"), F.lit("")))
-    ordered = lambda b: F.coalesce(F.get(F.filter("numbering", lambda n: (n["num_id"] == b["num_id"]) & (n["level"] == b["level"])), F.lit(0))["fmt"], F.lit("bullet")) != "bullet"
 
     def paragraph(b: Column) -> Column:
         text = strip(_joined(b["runs"], links, figs))
         depth = F.regexp_extract(named(b), r"^heading ([1-6])$", 1)
-        item = F.concat(F.repeat(F.lit("  "), b["level"]), F.when(ordered(b), "1. ").otherwise("* "), text)
+        item = F.concat(F.repeat(F.lit("  "), b["level"]), F.when(b["number"] > 0, F.concat(b["number"].cast("string"), F.lit(". "))).otherwise("* "), text)
         return F.when(text == "", "").when(depth != "", F.concat(F.repeat(F.lit("#"), depth.try_cast("int")), F.lit(" "), F.replace(text, F.lit("\n"), F.lit(" ")))).when(b["num_id"].isNotNull() & (b["num_id"] != "0"), item).otherwise(text)
 
     def grid(b: Column) -> Column:

@@ -19,24 +19,48 @@ def is_date(code: Column) -> Column:
     return code.isin(*_BUILT_IN_DATES) | (~code.startswith("#") & F.lower(bare).rlike("[dmyhs]") & (F.lower(bare) != "general"))
 
 
+def kind_of(code: Column) -> Column:
+    """``span`` for formats of elapsed time, ``date`` for other dates and times, else null."""
+    return F.when(F.lower(code).rlike(r"\[(h+|m+|s+)\]") | (code == "#46"), "span").when(is_date(code), "date")
+
+
+def _clock(micros: Column, hours: Column) -> Column:
+    """``hours``:MM:SS, with six more digits where there is a fraction."""
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    seconds = F.floor(micros / 1_000_000)
+    rest = micros % 1_000_000
+    return F.concat(hours, F.lit(":"), two(F.floor(seconds / 60) % 60), F.lit(":"), two(seconds % 60), F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""))
+
+
 def iso(serial: Column, date1904: Column) -> Column:
-    """Serial day number to ISO text: the time alone below one day, else date and time."""
+    """Serial day number to ISO text, to the millisecond: the time alone below one day, else date and time."""
     whole = F.floor(serial)
-    seconds = F.round((serial - whole) * 86400).cast("long")
-    days = F.floor(serial).cast("int") + F.when(seconds == 86400, 1).otherwise(0) + F.when(~date1904 & (serial >= 1) & (serial < 60), 1).otherwise(0)
-    left = seconds % 86400
-    clock = F.concat_ws(":", F.lpad(F.floor(left / 3600).cast("string"), 2, "0"), F.lpad((F.floor(left / 60) % 60).cast("string"), 2, "0"), F.lpad((left % 60).cast("string"), 2, "0"))
+    millis = F.round((serial - whole) * 86_400_000).cast("long")
+    days = whole.cast("int") + F.when(millis == 86_400_000, 1).otherwise(0) + F.when(~date1904 & (serial >= 1) & (serial < 60), 1).otherwise(0)
+    micros = millis % 86_400_000 * 1000
+    clock = _clock(micros, F.lpad(F.floor(micros / 3_600_000_000).cast("string"), 2, "0"))
     day = F.when(date1904, F.date_add(F.lit("1904-01-01").cast("date"), days)).otherwise(F.date_add(F.lit("1899-12-30").cast("date"), days)).cast("string")
     return F.when((serial >= 0) & (days < 1), clock).otherwise(F.concat(day, F.lit("T"), clock))
 
 
+def elapsed(serial: Column) -> Column:
+    """Days as elapsed time: ``1 day, 2:03:04``; below zero the days are counted down and the clock up."""
+    micros = F.round(serial * 86_400_000_000).cast("long")
+    days = F.floor(micros / 86_400_000_000).cast("long")
+    left = F.pmod(micros, F.lit(86_400_000_000))
+    head = F.when(days != 0, F.concat(days.cast("string"), F.when(F.abs(days) == 1, " day, ").otherwise(" days, "))).otherwise("")
+    return F.concat(head, _clock(left, F.floor(left / 3_600_000_000).cast("string")))
+
+
 def cell_text(cell: Column, shared: Column, dates: Column, date1904: Column) -> Column:
+    """``dates``: what each style shows (``kind_of``)."""
     serial = cell["v"].try_cast("double")
-    dated = F.coalesce(F.get(dates, cell["s"]), F.lit(False)) & serial.isNotNull() & (F.abs(serial) < 2958466)
+    how = F.when(serial.isNotNull() & (F.abs(serial) < 2958466), F.get(dates, cell["s"]))
     text = (
         F.when(cell["t"] == "s", F.get(shared, cell["v"].try_cast("int")))
         .when(cell["t"] == "b", F.when(cell["v"].isin("1", "true"), "True").otherwise("False"))
-        .when((cell["t"] == "n") & dated, iso(serial, date1904))
+        .when((cell["t"] == "n") & (how == "date"), iso(serial, date1904))
+        .when((cell["t"] == "n") & (how == "span"), elapsed(serial))
         .otherwise(cell["v"])
     )
     return F.replace(strip(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
@@ -95,7 +119,7 @@ def chart_blocks(found: DataFrame, gate: str = "structural") -> DataFrame:
 def workbooks(shredded: DataFrame, gate: str = "structural") -> DataFrame:
     """``source_id, markdown, charts_found, charts_rendered, has_content`` of readable workbooks."""
     links = package.rels(shredded)
-    bodies = shredded.select("source_id", "shared", F.transform("formats", is_date).alias("dates"), "date1904", F.explode("sheet_rows").alias("s"))
+    bodies = shredded.select("source_id", "shared", F.transform("formats", kind_of).alias("dates"), "date1904", F.explode("sheet_rows").alias("s"))
     bodies = bodies.select("source_id", F.col("s.part").alias("sheet_part"), _body().alias("body"))
     every = shredded.select("source_id", F.explode("sheets").alias("s")).select("source_id", F.col("s.ord").alias("sheet_ord"), F.col("s.name").alias("sheet"), F.col("s.state").alias("state"))
     parts = package.sheet_parts(shredded, links).select("source_id", "sheet_ord", "sheet_part")

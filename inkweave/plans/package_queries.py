@@ -14,6 +14,7 @@ from inkweave.functions import html
 from inkweave.functions import text as X
 from inkweave.operators import package, sheets
 from inkweave.sources import batch, builder
+from inkweave.sources import builder as B
 from inkweave.sources.tables import shared_dir, spread, table
 from inkweave.streaming import ingest
 
@@ -46,7 +47,7 @@ def _sheets(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
 
 def _section(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
-    body = F.when(F.col("rows").isNotNull(), sheets.table_text(F.col("rows"), none, F.array().cast("array<boolean>"), F.lit(False)))
+    body = F.when(F.col("rows").isNotNull(), sheets.table_text(F.col("rows"), none, none, F.lit(False)))
     state = F.when(F.col("n_regionkey") == 0, "hidden").otherwise("visible")
     return df.select("n_nationkey", F.sha2(sheets.section(F.col("n_name"), state, body, F.lit(None).cast("string")).cast("binary"), 256).alias("section_sha256"), body.isNull().alias("empty"))
 
@@ -175,6 +176,115 @@ m AS (SELECT *, '## Years' || chr(10) || chr(10) || '| Year | Total |' || chr(10
 SELECT c_nationkey || '.xlsx' AS source_id, 'ok' AS status, sha256(md) AS md_sha256, 1 AS charts_found, 1 AS charts_rendered FROM m"""
 
 
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation its orders by year, as ``c_nationkey, n_name, rows`` (y, n)."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    years = orders.groupBy("c_nationkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+    facts = years.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("rows"))
+    return facts.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", "n_name", "rows")
+
+
+def _packed(facts: DataFrame, form: str, make) -> DataFrame:
+    """One package a row, made by ``make(key, name, rows)`` on the executors."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("c_nationkey").to_pylist()
+            made = [make(*x) for x in zip(keys, b.column("n_name").to_pylist(), b.column("rows").to_pylist())]
+            yield pa.record_batch([pa.array([f"{k}.{form}" for k in keys]), pa.array([form] * b.num_rows), pa.array(made, pa.binary())], names=["source_id", "format", "content"])
+
+    return facts.mapInArrow(build, "source_id string, format string, content binary")
+
+
+def _told(got: DataFrame) -> DataFrame:
+    """Results with ids of figures, which hash their XML, left out."""
+    shown = F.regexp_replace("markdown", r"(docx group|docx chart|xlsx chart) [0-9a-f]{12}", "$1 ID")
+    return got.select("source_id", "status", F.sha2(shown.cast("binary"), 256).alias("md_sha256"), "charts_found", "charts_rendered", "groups_found", F.array_join("warnings", ";").alias("warnings"))
+
+
+def workbook_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per nation with charts of many kinds: several at an anchor, sparse, stacked, combined, without a cache; typed cells on a hidden sheet."""
+
+    def make(key, name, rows):
+        cats, n = [str(r["y"]) for r in rows], [r["n"] for r in rows]
+        sparse = B.chart("lineChart", "Sparse", cats, [("Even", [r["n"] if r["y"] % 2 == 0 else None for r in rows])], "0")
+        stacked = B.chart("barChart", "Stacked", cats, [("A", n), ("B", n)], "0", None, '<c:barDir val="bar"/><c:grouping val="stacked"/>')
+        both = B.combined(B.chart("barChart", "Both", cats, [("Orders", n)], "0", "Count", '<c:barDir val="col"/>'), B.chart("lineChart", None, cats, [("Twice", [2 * x for x in n])], "0"))
+        pie = B.chart("pieChart", "Pie (all)", cats, [("", n)], "0.0")
+        area = B.chart("areaChart", None, [], [("Bare", n)], None)
+        empty = B.chart("barChart", "Empty", cats, [("A", n)], "0", cached=False)
+        anchors = [(5, 10, [pie]), (3, 1, [sparse, stacked]), (0, 1, [both]), (7, 20, [empty]), (27, 30, [area])]
+        formats = '<s:numFmts><s:numFmt numFmtId="164" formatCode="[h]:mm"/><s:numFmt numFmtId="165" formatCode="yyyy\\-mm"/></s:numFmts><s:cellXfs>' + "".join(f'<s:xf numFmtId="{k}"/>' for k in (0, 14, 164, 165, 21)) + "</s:cellXfs>"
+        typed = [["what", "value"], ["flag", key % 2 == 0], ["day", (36526 + key, 1)], ["moment", (36526.25 + key, 3)], ["span", (1.5 + key, 2)], ["clock", (0.75, 4)], ["tick", (0.000005787037037, 4)], ["whole", 5.0], ["part", 0.25], [None, None], [" two\nlines ", "x"]]
+        return B.xlsx([{"name": "Data", "rows": [["Year", "Orders"], *([r["y"], r["n"]] for r in rows)], "anchors": anchors}, {"name": "Types", "state": "hidden", "rows": typed}], {"xl/styles.xml": f"<s:styleSheet {B._SPACES}>{formats}</s:styleSheet>"})
+
+    return _told(engine.convert(_packed(_years(spark, sf_dir), "xlsx", make)))
+
+
+_YEARS = """t AS (SELECT c_nationkey AS k, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+_LINES = "chr(10) || chr(10)"
+
+WORKBOOK_CHARTS = f"""
+WITH {_YEARS},
+g AS (SELECT k, string_agg('| ' || y || ' | ' || n || ' |', chr(10) ORDER BY y) AS cells, string_agg('"' || y || '"', ', ' ORDER BY y) AS axis, string_agg(format('{{:.4g}}', n::DOUBLE), ', ' ORDER BY y) AS one, string_agg(format('{{:.4g}}', 2.0 * n), ', ' ORDER BY y) AS two, max(2 * n)::DOUBLE AS top, max(n)::DOUBLE AS high,
+  string_agg('    "' || y || '" : ' || format('{{:.4g}}', n::DOUBLE), chr(10) ORDER BY y) AS slices,
+  string_agg('| ' || y || ' | ' || CASE WHEN y % 2 = 0 THEN format('{{:,}}', n) ELSE '' END || ' |', chr(10) ORDER BY y) AS even, string_agg('| ' || y || ' | ' || format('{{:,}}', n) || ' | ' || format('{{:,}}', n) || ' |', chr(10) ORDER BY y) AS stack,
+  string_agg('| ' || y || ' | ' || format('{{:,}}', n) || ' | ' || format('{{:,}}', 2 * n) || ' |', chr(10) ORDER BY y) AS pair, string_agg('| ' || y || ' | ' || format('{{:,.1f}}', n::DOUBLE) || ' |', chr(10) ORDER BY y) AS pied FROM t GROUP BY 1),
+b AS (SELECT k, string_agg('| ' || i || ' | ' || format('{{:.4g}}', n::DOUBLE) || ' |', chr(10) ORDER BY i) AS bare FROM (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY y) AS i FROM t) GROUP BY 1),
+m AS (SELECT k, '## Data' || {_LINES} || '| Year | Orders |' || chr(10) || '| --- | --- |' || chr(10) || cells
+  || {_LINES} || '> sheet Data, anchor A2' || {_LINES} || 'Both — Count' || {_LINES} || '```mermaid' || chr(10) || 'xychart-beta' || chr(10) || 'x-axis [' || axis || ']' || chr(10) || 'y-axis "Count" 0 --> ' || format('{{:.4g}}', top) || chr(10) || 'bar [' || one || ']' || chr(10) || 'line [' || two || ']' || chr(10) || '```' || {_LINES} || '| Category | Orders | Twice |' || chr(10) || '| --- | --- | --- |' || chr(10) || pair
+  || {_LINES} || '> sheet Data, anchor D2' || {_LINES} || 'Sparse' || {_LINES} || '| Category | Even |' || chr(10) || '| --- | --- |' || chr(10) || even
+  || {_LINES} || '> sheet Data, anchor D2' || {_LINES} || 'Stacked' || {_LINES} || '| Category | A | B |' || chr(10) || '| --- | --- | --- |' || chr(10) || stack
+  || {_LINES} || '> sheet Data, anchor F11' || {_LINES} || 'Pie (all)' || {_LINES} || '```mermaid' || chr(10) || 'pie title Pie all' || chr(10) || slices || chr(10) || '```' || {_LINES} || '| Category | Series 1 |' || chr(10) || '| --- | --- |' || chr(10) || pied
+  || {_LINES} || '> [Figure, xlsx chart ID on Data!H21 — chart content not analyzed]' || chr(10) || '> captions: Empty'
+  || {_LINES} || '> sheet Data, anchor AB31' || {_LINES} || '| Category | Bare |' || chr(10) || '| --- | --- |' || chr(10) || bare
+  || {_LINES} || '## Types (hidden)' || {_LINES} || '| what | value |' || chr(10) || '| --- | --- |' || chr(10) || '| flag | ' || CASE WHEN k % 2 = 0 THEN 'True' ELSE 'False' END || ' |' || chr(10) || '| day | ' || strftime(DATE '2000-01-01' + k::INT, '%Y-%m-%dT00:00:00') || ' |' || chr(10) || '| moment | ' || strftime(DATE '2000-01-01' + k::INT, '%Y-%m-%dT06:00:00') || ' |' || chr(10)
+  || '| span | ' || (k + 1) || CASE WHEN k = 0 THEN ' day' ELSE ' days' END || ', 12:00:00 |' || chr(10) || '| clock | 18:00:00 |' || chr(10) || '| tick | 00:00:00.500000 |' || chr(10) || '| whole | 5 |' || chr(10) || '| part | 0.25 |' || chr(10) || '|  |  |' || chr(10) || '| two lines | x |' || chr(10) AS md FROM g JOIN b USING (k))
+SELECT k || '.xlsx' AS source_id, 'ok' AS status, sha256(md) AS md_sha256, 6 AS charts_found, 5 AS charts_rendered, 0 AS groups_found, '' AS warnings FROM m"""
+
+
+def document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word document per nation: headings, marks, links, lists, notes, a table with spans, images around the least size, a group, charts with and without values."""
+
+    def make(key, name, rows):
+        cats, n = [str(r["y"]) for r in rows], [r["n"] for r in rows]
+        p, run = B.paragraph, lambda t: B.nest("w:r w:t", t)
+        image = lambda size: (name * size)[:size].encode()
+        tall = lambda t: B.nest("w:tc", B.nest("w:tcPr", B.nest("w:gridSpan", w__val="2")) + p(t))
+        small = lambda *t: "".join(B.nest("w:tc", x) for x in t)
+        body = (
+            p(f"{name} report", "Heading1") + p("strong *text*", props="<w:b/>") + p("See ", more=B.nest("w:hyperlink", run("the site"), r__id="rId1") + run(" now") + B.note("footnote", "4") + B.note("endnote", "2"))
+            + p("first", num="1") + p("second", num="1") + p("inner", num="2", level=1) + p("third", num="1") + p("point", num="2") + p("") + p("again", num="1")
+            + "<w:tbl>" + B.nest("w:tr", tall("Years")) + "".join(B.nest("w:tr", small(p(c), p(str(x)) + p("orders"))) for c, x in zip(cats, n)) + B.nest("w:tr", small(B.grid([["deep", "er"]]), B.nest("w:sdt w:sdtContent", p("kept")))) + "</w:tbl>"
+            + B.picture("rId2") + B.picture("rId3") + p("box:", more=B.text_box(p("boxed")))
+            + B.group(["Alpha", "12", " Alpha ", name], ["rId4"]) + B.chart_anchor("rId6") + B.chart_anchor("rId7") + p("the end")
+        )
+        links = {"rId1": ("hyperlink", "http://example.com/x"), "rId2": ("image", "media/b.png"), "rId3": ("image", "media/s.png"), "rId4": ("image", "media/g.png"), "rId5": ("image", "media/l.png"), "rId6": ("chart", "charts/chart1.xml"), "rId7": ("chart", "charts/chart2.xml")}
+        media = {"b.png": image(5000), "s.png": image(4999), "g.png": image(5001), "l.png": image(5002), "o.png": image(5003)}
+        charts = {"chart1.xml": B.chart("radarChart", "Round", cats, [("N", n)], "0"), "chart2.xml": B.chart("barChart", "None", cats, [("N", n)], cached=False)}
+        more = {"word/numbering.xml": B.numbering(n1="decimal", n2="bullet"), "word/footnotes.xml": B.notes("footnote", n4="of the foot"), "word/endnotes.xml": B.notes("endnote", n2="of the end"), "word/styles.xml": f"<w:styles {B._SPACES}>" + B.nest("w:style", B.nest("w:name", w__val="heading 1"), w__styleId="Heading1") + "</w:styles>"}
+        # the lost image is used by a header only
+        more |= {"word/header1.xml": f"<w:hdr {B._SPACES}>{B.picture('rId5')}</w:hdr>", "word/_rels/header1.xml.rels": B.rels({"rId5": links["rId5"]})}
+        return B.docx(body, media, charts, links, more)
+
+    return _told(engine.convert(_packed(_years(spark, sf_dir), "docx", make)))
+
+
+DOCUMENT_ROUNDTRIP = f"""
+WITH {_YEARS},
+g AS (SELECT k, n_name AS name, string_agg('| ' || y || ' | ' || n || ' orders |', chr(10) ORDER BY y) AS cells, string_agg('s' || i || y || '["' || y || '"]', ', ' ORDER BY y) || chr(10) || 'curve n["N"]{{' || string_agg(format('{{:.4g}}', n::DOUBLE), ', ' ORDER BY y) || '}}' AS axes,
+  string_agg('| ' || y || ' | ' || format('{{:,}}', n) || ' |', chr(10) ORDER BY y) AS body FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y) - 1 AS i FROM t) JOIN nation ON k = n_nationkey GROUP BY ALL),
+m AS (SELECT k, '# ' || replace(name, '_', '\\_') || ' report' || {_LINES} || '**strong \*text\***' || {_LINES} || 'See [the site](http://example.com/x) now[[1]](#footnote-4)[[2]](#endnote-2)' || {_LINES}
+  || '1. first' || chr(10) || '2. second' || chr(10) || '  * inner' || chr(10) || '3. third' || chr(10) || '* point' || chr(10) || '1. again' || {_LINES}
+  || '|  |  |' || chr(10) || '| --- | --- |' || chr(10) || '| Years | |' || chr(10) || cells || chr(10) || '| deep er | kept |' || {_LINES}
+  || '> [Image, docx media ' || sha256(repeat(name, 5000)[:5000])[:12] || ' — raster content not analyzed]' || {_LINES} || 'box:' || {_LINES} || 'boxed' || {_LINES}
+  || '> [Figure, docx group ID — composite content not analyzed]' || chr(10) || '> captions: Alpha; ' || name || '; old' || {_LINES}
+  || 'Round' || {_LINES} || '```mermaid' || chr(10) || 'radar-beta' || chr(10) || 'axis ' || axes || chr(10) || '```' || {_LINES} || '| Category | N |' || chr(10) || '| --- | --- |' || chr(10) || body || {_LINES}
+  || '> [Figure, docx chart ID — chart content not analyzed]' || chr(10) || '> captions: None' || {_LINES} || 'the end' || {_LINES} || '1. of the foot [↑](#footnote-ref-4)' || chr(10) || '2. of the end [↑](#endnote-ref-2)' || chr(10)
+  || chr(10) || '## Figures (position unknown)' || {_LINES} || '> [Image, docx media ' || sha256(repeat(name, 5002)[:5002])[:12] || ' — raster content not analyzed]' || chr(10) AS md FROM g)
+SELECT k || '.docx' AS source_id, 'ok' AS status, sha256(md) AS md_sha256, 2 AS charts_found, 1 AS charts_rendered, 1 AS groups_found, '' AS warnings FROM m"""
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a file stream, aggregated by hour, to a table."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -188,4 +298,4 @@ STREAM_INGEST = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DECIMAL(28,4)::VARCHAR AS total FROM events GROUP BY ALL"""
 
 HTML_TO_MARKDOWN = None
-QUERIES = {f.__name__: (f, globals()[f.__name__.upper()]) for f in (anchor_cell, sheet_table, sheet_empty, rel_resolution, media_id12, formula_ref, batch_plan, collisions, html_to_markdown, package_roundtrip, stream_ingest)}
+QUERIES = {f.__name__: (f, globals()[f.__name__.upper()]) for f in (anchor_cell, sheet_table, sheet_empty, rel_resolution, media_id12, formula_ref, batch_plan, collisions, html_to_markdown, package_roundtrip, workbook_charts, document_roundtrip, stream_ingest)}

@@ -42,6 +42,13 @@ def points(values: list, n: int | None = None) -> str:
     return count + "".join(f'<c:pt idx="{k}"><c:v>{escape(str(v))}</c:v></c:pt>' for k, v in enumerate(values) if v is not None)
 
 
+def combined(*charts: str) -> str:
+    """One chart with the plots of several; title and axes are the first one's."""
+    first, *others = charts
+    plots = "".join(x[x.index("<c:plotArea>") + 12 : x.index("</c:plotArea>")] for x in others)
+    return first.replace("</c:plotArea>", plots + "</c:plotArea>", 1)
+
+
 def chart(tag: str, title: str | None, categories: list, series: list[tuple[str, list]], code: str | None = None, axis: str | None = None, inner: str = "", cached: bool = True) -> str:
     rich = lambda t: nest("c:title c:tx c:rich a:p a:r a:t", escape(t))
     sers = ""
@@ -53,10 +60,31 @@ def chart(tag: str, title: str | None, categories: list, series: list[tuple[str,
     return f"<c:chartSpace {_SPACES}>" + nest("c:chart", (rich(title) if title else "") + plot) + "</c:chartSpace>"
 
 
-def paragraph(text: str, style: str | None = None, num: str | None = None, props: str = "") -> str:
-    head = (nest("w:pStyle", w__val=style) if style else "") + (nest("w:numPr", nest("w:ilvl", w__val="0") + nest("w:numId", w__val=num)) if num else "")
+def paragraph(text: str, style: str | None = None, num: str | None = None, props: str = "", level: int = 0, more: str = "") -> str:
+    """``more``: runs after the text."""
+    head = (nest("w:pStyle", w__val=style) if style else "") + (nest("w:numPr", nest("w:ilvl", w__val=str(level)) + nest("w:numId", w__val=num)) if num else "")
     run = (nest("w:rPr", props) if props else "") + nest("w:t", escape(text))
-    return nest("w:p", (nest("w:pPr", head) if head else "") + nest("w:r", run))
+    return nest("w:p", (nest("w:pPr", head) if head else "") + nest("w:r", run) + more)
+
+
+def numbering(**formats: str) -> str:
+    """A numbering part: for each number its format at the first two levels."""
+    levels = lambda f: "".join(nest("w:lvl", nest("w:numFmt", w__val=f), w__ilvl=str(k)) for k in range(2))
+    plans = "".join(nest("w:abstractNum", levels(f), w__abstractNumId=k) for k, f in formats.items())
+    return f"<w:numbering {_SPACES}>{plans}" + "".join(nest("w:num", nest("w:abstractNumId", w__val=k), w__numId=k.lstrip("n")) for k in formats) + "</w:numbering>"
+
+
+def notes(kind: str, **texts: str) -> str:
+    """A part of foot- or endnotes, by ``n`` and their id."""
+    return f"<w:{kind}s {_SPACES}>" + "".join(nest(f"w:{kind}", paragraph(t), w__id=k.lstrip("n")) for k, t in texts.items()) + f"</w:{kind}s>"
+
+
+def note(kind: str, ident: str) -> str:
+    return nest(f"w:r w:{kind}Reference", w__id=ident)
+
+
+def text_box(inner: str) -> str:
+    return nest("w:r w:pict w:txbxContent", inner)
 
 
 def picture(rid: str) -> str:

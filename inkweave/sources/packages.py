@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from inkweave.schemas import RAW_CHART
-from inkweave.sources.xmltree import BadXml, Node, parse
+from inkweave.sources.xmltree import BadXml, Node, parse, spans_of
 
 MAX_MEMBER = 128 << 20
 MAX_TOTAL = 512 << 20
@@ -31,7 +31,7 @@ ANY_CASE = "*.{[dD][oO][cC][xX],[xX][lL][sS][xX]}"
 MAX_ROW, MAX_COLUMN = 1 << 20, 1 << 14
 
 RUN = "struct<kind:string,text:string,bold:boolean,italic:boolean,href:string,ref:string>"
-BLOCK = f"struct<kind:string,style:string,num_id:string,level:int,runs:array<{RUN}>,cells:array<array<struct<span:int,runs:array<{RUN}>>>>>"
+BLOCK = f"struct<kind:string,style:string,num_id:string,level:int,number:int,runs:array<{RUN}>,cells:array<array<struct<span:int,runs:array<{RUN}>>>>>"
 FIGURE = "struct<kind:string,id12:string,texts:array<string>,rel_ids:array<string>,chart_rid:string>"
 SHREDDED = (
     "status string, error string, parts array<struct<part:string,size:bigint>>, rels array<struct<source_part:string,rel_id:string,rel_type:string,target:string,used:boolean>>, "
@@ -158,11 +158,41 @@ def _figure(node: Node, kind: str, chart_rid: str | None = None) -> dict:
     return {"kind": kind, "id12": node.id12(), "texts": node.texts() if kind == "group" else [], "rel_ids": ids, "chart_rid": chart_rid}
 
 
+def _space() -> dict:
+    return {"kind": "text", "text": " ", "bold": False, "italic": False, "href": None, "ref": None}
+
+
+def _inside(node: Node, tag: str) -> list[Node]:
+    """Children of a kind, content controls looked through."""
+    return [y for x in node.children for y in ([x] if x.tag == tag else _inside(x, tag) if x.tag in ("sdt", "sdtContent", "customXml", "ins") else [])]
+
+
+def _count(blocks: list[dict], formats: dict[tuple[str, int], str]) -> None:
+    """Gives the items of ordered lists their numbers; a list ends where other text or an outer item comes."""
+    open_lists: list[tuple[int, bool, int]] = []
+    for b in blocks:
+        if b["num_id"] in (None, "0"):
+            if b["runs"] or b["cells"]:
+                open_lists.clear()
+            continue
+        ordered = formats.get((b["num_id"], b["level"]), "bullet") != "bullet"
+        while open_lists and open_lists[-1][0] > b["level"]:
+            open_lists.pop()
+        n = 1
+        if open_lists and open_lists[-1][0] == b["level"]:
+            _, same, last = open_lists.pop()
+            n = last + 1 if same == ordered else 1
+        open_lists.append((b["level"], ordered, n))
+        b["number"] = n if ordered else 0
+
+
 class _Body:
-    """Walks a body once; figures get numbers in the order of the text."""
+    """Walks a body once; figures and notes get numbers in the order of the text."""
 
     def __init__(self) -> None:
         self.figures: list[dict] = []
+        self.notes: list[tuple[str, str]] = []
+        self.boxes: list[dict] = []  # blocks of text boxes, which follow their paragraph
 
     def runs(self, node: Node, bold: bool = False, italic: bool = False, href: str | None = None) -> list[dict]:
         out: list[dict] = []
@@ -191,7 +221,8 @@ class _Body:
                 target = f"rel:{link}" if link else f"#{x.get('anchor')}" if x.get("anchor") else None
                 out.extend(self.runs(x, bold, italic, target))
             elif x.tag in ("footnoteReference", "endnoteReference"):
-                put("note", x.get("id") or "", x.tag[: -len("Reference")])
+                self.notes.append((x.tag[: -len("Reference")], x.get("id") or ""))
+                put("note", str(len(self.notes)), "-".join(self.notes[-1]))
             elif x.tag == "AlternateContent":
                 if _is_group(x):
                     self.figures.append(_figure(x, "group"))
@@ -199,6 +230,8 @@ class _Body:
                 elif (other := x.find("Fallback")) is not None:
                     out.extend(self.runs(other, bold, italic, href))
             elif x.tag in _GRAPHICS:
+                for box in (b for b in x.walk() if b.tag == "txbxContent"):
+                    self.boxes += self.blocks(box)
                 charts = [c for c in x.walk() if c.tag == "chart" and c.get("r:id")] if x.tag == "drawing" else []
                 for c in charts:
                     self.figures.append(_figure(x, "chart", c.get("r:id")))
@@ -217,26 +250,40 @@ class _Body:
         style = _val(props, "pStyle") if props is not None else None
         num = props.find("numPr") if props is not None else None
         level = _val(num, "ilvl") if num is not None else None
-        return {"kind": "paragraph", "style": style, "num_id": _val(num, "numId") if num is not None else None, "level": int(level) if level and level.isdigit() else 0, "runs": self.runs(p), "cells": None}
+        return {"kind": "paragraph", "style": style, "num_id": _val(num, "numId") if num is not None else None, "level": int(level) if level and level.isdigit() else 0, "number": 0, "runs": self.runs(p), "cells": None}
+
+    def cell(self, tc: Node) -> list[dict]:
+        """All text of a cell as one line: its paragraphs, content controls and inner tables, with spaces between."""
+        out: list[dict] = []
+        for x in tc.children:
+            if x.tag == "p":
+                kept, self.boxes = self.boxes, []
+                own = self.runs(x) + [r for b in self.boxes for r in [_space(), *b["runs"]]]
+                self.boxes = kept
+            else:
+                own = self.cell(x) if x.tag in ("sdt", "sdtContent", "customXml", "ins", "tbl", "tr", "tc") else []
+            if own:
+                out += ([_space()] if out else []) + own
+        return out
 
     def blocks(self, node: Node) -> list[dict]:
         out = []
         for x in node.children:
             if x.tag == "p":
+                kept, self.boxes = self.boxes, []
                 out.append(self.paragraph(x))
+                out += self.boxes
+                self.boxes = kept
             elif x.tag == "tbl":
                 rows = []
-                for tr in (t for t in x.walk() if t.tag == "tr"):
+                for tr in _inside(x, "tr"):
                     row = []
-                    for tc in (c for c in tr.children if c.tag == "tc"):
+                    for tc in _inside(tr, "tc"):
                         props = tc.find("tcPr")
                         span = _val(props, "gridSpan") if props is not None else None
-                        runs: list[dict] = []
-                        for p in (q for q in tc.children if q.tag == "p"):
-                            runs += ([{"kind": "text", "text": " ", "bold": False, "italic": False, "href": None, "ref": None}] if runs else []) + self.runs(p)
-                        row.append({"span": int(span) if span and span.isdigit() else 1, "runs": runs})
+                        row.append({"span": int(span) if span and span.isdigit() else 1, "runs": self.cell(tc)})
                     rows.append(row)
-                out.append({"kind": "table", "style": None, "num_id": None, "level": 0, "runs": [], "cells": rows})
+                out.append({"kind": "table", "style": None, "num_id": None, "level": 0, "number": 0, "runs": [], "cells": rows})
             elif x.tag in ("sdt", "sdtContent", "customXml", "ins"):
                 out.extend(self.blocks(x))
         return out
@@ -253,7 +300,6 @@ def _docx(z: zipfile.ZipFile, names: set[str], out: dict) -> None:
         raise Unsupported("no body in word/document.xml")
     reader = _Body()
     out["blocks"] = reader.blocks(body)
-    out["figures"] = reader.figures
     try:
         if "word/styles.xml" in names:
             out["styles"] = [{"id": s.get("styleId"), "name": _val(s, "name")} for s in parse(read(z, "word/styles.xml")).children if s.tag == "style" and s.get("styleId")]
@@ -263,6 +309,49 @@ def _docx(z: zipfile.ZipFile, names: set[str], out: dict) -> None:
             out["numbering"] = [{"num_id": n.get("numId"), "level": int(k), "fmt": f} for n in root.children if n.tag == "num" for k, f in plans.get(_val(n, "abstractNumId"), {}).items() if k and k.isdigit()]
     except BadXml:
         pass  # the text stays; only its styling is lost
+    _count(out["blocks"], {(x["num_id"], x["level"]): x["fmt"] for x in out["numbering"]})
+    out["blocks"] += _notes(z, names, reader)
+    out["figures"] = reader.figures
+
+
+def _notes(z: zipfile.ZipFile, names: set[str], reader: _Body) -> list[dict]:
+    """The bodies of all notes that the text refers to, as a numbered list with links back."""
+    bodies = {}
+    for kind in ("footnote", "endnote"):
+        if f"word/{kind}s.xml" in names:
+            try:
+                bodies |= {(kind, n.get("id")): n for n in parse(read(z, f"word/{kind}s.xml")).children if n.tag == kind}
+            except BadXml:
+                continue
+    out, at = [], 0
+    while at < len(reader.notes):  # a note may refer to others
+        kind, ident = reader.notes[at]
+        at += 1
+        runs = reader.cell(bodies[kind, ident]) if (kind, ident) in bodies else []
+        back = {"kind": "text", "text": "↑", "bold": False, "italic": False, "href": f"#{kind}-ref-{ident}", "ref": None}
+        out.append({"kind": "paragraph", "style": None, "num_id": "notes", "level": 0, "number": at, "runs": [*runs, _space(), back] if runs else [back], "cells": None})
+    return out
+
+
+def figure_package(content: bytes, id12: str) -> bytes | None:
+    """A document that holds only the block with this figure and the page's geometry, all other parts as they are; null if there is no such figure."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        check(z)
+        data = read(z, "word/document.xml")
+        body = parse(data).find("body")
+        spans, ends = spans_of(data, 2)
+        blocks = body.children if body is not None else []
+        holds = lambda b: any((_is_group(x) or x.tag == "drawing") and x.id12() == id12 for x in [b, *b.walk()])
+        found = next((k for k, b in enumerate(blocks) if holds(b)), None)
+        if found is None:
+            return None
+        keep = sorted({found, *([len(blocks) - 1] if blocks[-1].tag == "sectPr" else [])})
+        small = data[: spans[0][0]] + b"".join(data[slice(*spans[k])] for k in keep) + data[ends:]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+            for name in z.namelist():
+                made.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), small if name == "word/document.xml" else read(z, name))
+        return out.getvalue()
 
 
 # == workbooks
@@ -389,6 +478,24 @@ def shred_bytes(content: bytes | None, form: str | None) -> dict:
     return out
 
 
+def pictures(files: DataFrame) -> DataFrame:
+    """``source_id, part, id12, content`` of the media of word documents, for whoever looks at them; unreadable packages give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, form, content in zip(batch.column("source_id").to_pylist(), batch.column("format").to_pylist(), batch.column("content")):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        check(z)
+                        for part in sorted(n for n in z.namelist() if form == "docx" and n.startswith("word/media/")):
+                            data = read(z, part)
+                            yield pa.record_batch([pa.array([source]), pa.array([part]), pa.array([hashlib.sha256(data).hexdigest()[:12]]), pa.array([data], pa.binary())], names=["source_id", "part", "id12", "content"])
+                except (Refused, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    continue
+
+    return files.select("source_id", "format", "content").mapInArrow(run, "source_id string, part string, id12 string, content binary")
+
+
 def format_of(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
     return F.when(suffix.isin("docx", "xlsx"), suffix)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -10,6 +11,9 @@ MAX_DEPTH = 256
 MAX_NODES = 20_000_000
 
 
+_TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
+
+
 class BadXml(ValueError):
     pass
 
@@ -113,3 +117,28 @@ def parse(data: bytes) -> Node:
     except expat.ExpatError as e:
         raise BadXml(str(e)) from None
     return top.children[0]
+
+
+def spans_of(data: bytes, depth: int) -> tuple[list[tuple[int, int]], int]:
+    """Byte ranges of the elements at a depth (the root is at 0), and where the tag that closes their parent begins."""
+    spans: list[tuple[int, int]] = []
+    at, level, closing = [0], [0], [0]
+    p = expat.ParserCreate()
+
+    def start(*_: object) -> None:
+        if level[0] == depth:
+            at[0] = p.CurrentByteIndex
+        level[0] += 1
+
+    def end(name: str) -> None:
+        level[0] -= 1
+        here = p.CurrentByteIndex
+        if level[0] == depth:
+            tag = _TAG.match(data, at[0])
+            spans.append((at[0], tag.end() if tag[0].endswith(b"/>") else data.index(b">", here) + 1))
+        elif level[0] == depth - 1:
+            closing[0] = here
+
+    p.StartElementHandler, p.EndElementHandler = start, end
+    p.Parse(data, True)
+    return spans, closing[0]

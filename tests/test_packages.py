@@ -2,11 +2,13 @@ import io
 import json
 import os
 import struct
+import time
 import zipfile
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkweave import cli, engine
 from inkweave.sources import builder as B
@@ -94,6 +96,65 @@ def test_any_bytes(data, form):
     assert P.shred_bytes(B.archive({part: data}), form)["status"] in ("ok", "unsupported_format")
 
 
+def test_far_stray_cell(spark):
+    def sheet(cells):
+        rows = "".join(f'<s:row r="{r}"><s:c r="{ref}"><s:v>{v}</s:v></s:c></s:row>' for r, ref, v in cells)
+        return f"<s:worksheet {B._SPACES}><s:sheetData>{rows}</s:sheetData></s:worksheet>"
+
+    book = B.xlsx([{"name": "S", "rows": []}, {"name": "T", "rows": []}], {})
+    parts = {n: zipfile.ZipFile(io.BytesIO(book)).read(n) for n in zipfile.ZipFile(io.BytesIO(book)).namelist()}
+    parts["xl/worksheets/sheet1.xml"] = sheet([(1, "A1", 1), (1000000, "F1000000", 2)])
+    parts["xl/worksheets/sheet2.xml"] = sheet([(1, "B1", 1), (4, "A4", 2)])
+    r = engine.convert(engine.in_memory(spark, [("a", "xlsx", B.archive(parts))])).first()
+    assert r.status == "ok"
+    assert r.markdown == "## S\n\n| 1 |\n| --- | --- | --- | --- | --- | --- |\n| (999998 blank rows) |\n|  |  |  |  |  | 2 |\n\n## T\n\n|  | 1 |\n| --- | --- |\n|  |  |\n|  |  |\n| 2 |  |\n"
+
+
+def test_sheet_table_is_linear(spark):
+    from inkweave.operators import sheets
+
+    def seconds(n):
+        cell = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda c: F.struct(c.cast("int").alias("c"), F.lit("str").alias("t"), F.lit("x").alias("v"), F.lit(0).alias("s")))
+        rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: F.struct(r.cast("int").alias("r"), cell.alias("cells"))).alias("rows")).persist()
+        rows.count()
+        none = F.array().cast("array<string>")
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert rows.select(F.length(sheets.table_text(F.col("rows"), none, none, F.lit(False)))).first()[0] > 10 * n
+            took.append(time.perf_counter() - began)
+        rows.unpersist()
+        return min(took)
+
+    seconds(100)
+    assert seconds(40_000) < 30 * (seconds(4_000) + 0.2)
+
+
+def test_times(spark):
+    from inkweave.operators import sheets
+
+    serials = [36526.5000001157, 0.5, 1.5, -1.25, 60.0, 59.0]
+    df = spark.createDataFrame([(x,) for x in serials], "x double")
+    got = df.select(sheets.iso(F.col("x"), F.lit(False)), sheets.elapsed(F.col("x"))).collect()
+    assert [r[0] for r in got[:3]] == ["2000-01-01T12:00:00.010000", "12:00:00", "1900-01-01T12:00:00"] and got[5][0] == "1900-02-28T00:00:00"
+    assert [r[1] for r in got[1:4]] == ["12:00:00", "1 day, 12:00:00", "-2 days, 18:00:00"]
+
+
+def test_package_of_one_figure():
+    xml = BARS
+    doc = B.docx(B.paragraph("before") + B.group(["Alpha"]) + B.chart_anchor("rId1") + B.paragraph("after"), charts={"chart1.xml": xml}, links={"rId1": ("chart", "charts/chart1.xml")})
+    for f in P.shred_bytes(doc, "docx")["figures"]:
+        small = P.shred_bytes(P.figure_package(doc, f["id12"]), "docx")
+        assert small["status"] == "ok" and [x["id12"] for x in small["figures"]] == [f["id12"]] and len(small["blocks"]) == 1 and len(small["parts"]) == len(P.shred_bytes(doc, "docx")["parts"])
+    assert P.figure_package(doc, "0" * 12) is None
+
+
+def test_cells_keep_inner_text():
+    cell = B.nest("w:tc", B.paragraph("a") + B.grid([["b", "c"]]) + B.nest("w:sdt w:sdtContent", B.paragraph("d")) + B.paragraph("e", num="1"))
+    got = P.shred_bytes(B.docx("<w:tbl>" + B.nest("w:sdt w:sdtContent w:tr", cell) + "</w:tbl>"), "docx")
+    assert len(got["blocks"]) == 1 and ["".join(r["text"] for r in c["runs"]) for row in got["blocks"][0]["cells"] for c in row] == ["a b c d e"]
+
+
 def test_ids_differ_by_content():
     a, b = parse(BARS.encode()), parse(EMPTY.encode())
     assert a.id12() == parse(BARS.encode()).id12() != b.id12()
