@@ -45,7 +45,9 @@ def _say(text: str) -> None:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     from inkweave import engine
+    from inkweave.sources import sinks
     from inkweave.sources.batch import SUFFIXES, walk
+    from inkweave.sources.tables import stored
 
     p = parser()
     args = p.parse_args(argv)
@@ -102,9 +104,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     plan = spark.createDataFrame([(k, path, rel) for k, (path, rel) in enumerate(listing)], "ord long, local string, rel string")
     files = spark.read.format("binaryFile").load([f"file://{path}" for path, _ in listing]).select("path", "content")
     rows = files.join(plan, F.regexp_replace("path", "^file:/+", "/") == F.col("local")).select(F.col("rel").alias("source_id"), F.lower(F.regexp_extract("local", r"\.([^.]*)$", 1)).alias("format"), "content")
-    results = engine.convert(rows, config).join(plan.select(F.col("rel").alias("source_id"), "ord"), "source_id").orderBy("ord")
+    # files are written on the executors (here all on this machine); only what there is to say comes back
+    folder = Path(args.output).resolve()
+    results = stored(engine.convert(rows, config).join(plan.select(F.col("rel").alias("source_id"), "ord"), "source_id"), "results")
+    wanted = results
+    if args.fail_fast and (first := results.where("status <> 'ok'").agg(F.min("ord")).first()[0]) is not None:
+        wanted = results.where(F.col("ord") <= first)
+    written = stored(sinks.write_each(wanted, folder.as_uri(), args.json), "written")
+    told = written.join(wanted.select("source_id", "ord"), "source_id").orderBy("ord")
     done = failed = 0
-    for row in results.toLocalIterator():
+    for row in told.toLocalIterator():
         if row["status"] != "ok":
             _say(f"error: {row['source_id']}: {row['error']}")
             if args.fail_fast:
@@ -114,11 +123,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if not args.quiet:
             for w in row["warnings"]:
                 _say(f"warning: {row['source_id']}: {w}")
-        out = Path(args.output) / Path(row["source_id"]).with_suffix(suffix)
-        out.parent.mkdir(parents=True, exist_ok=True)
-        out.write_text(_text(row, args.json), encoding="utf-8")
         done += 1
         if args.verbose:
-            _say(f"converted: {row['source_id']} -> {out}")
+            _say(f"converted: {row['source_id']} -> {row['path']}")
     _say(f"{done}/{len(listing)} converted, {failed} failed")
     return 1 if failed else 0

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.functions import text as X
+from inkweave.sources.tables import stored
 
 _ANY = "(?md)(^(?:" + "|".join(m.replace("([0-9a-f]{12})", "[0-9a-f]{12}").replace(r"([^\n]*)", r"[^\n]*") for m in (X.IMAGE_MARK, X.GROUP_MARK)) + ")$)"
 
@@ -91,34 +92,58 @@ def ask(images: DataFrame, client: Callable[[str, str, str], str], model: str, p
 
 
 def judge(described: DataFrame, client: Callable[[str, str, str], str], models: tuple[str, ...]) -> DataFrame:
-    """``id12, judge_verdict`` for rows of ``id12, uri, answer``: the union of the models' tags, in their order."""
+    """``id12, judge_verdict, errors`` for rows of ``id12, uri, answer``: the union of the models' tags, in their order, and why calls failed (redacted)."""
     out = None
     for k, model in enumerate(models):
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            import re
+
             for batch in batches:
-                said = []
+                said, wrong = [], []
                 for uri, answer in zip(batch.column("uri").to_pylist(), batch.column("answer").to_pylist()):
                     try:
                         got = client(JUDGE.replace("{answer}", answer), uri, model)
                         said.append(got if isinstance(got, str) else None)
-                    except Exception:  # noqa: BLE001
+                        wrong.append(None if isinstance(got, str) else f"{model}: no text: {type(got).__name__}")
+                    except Exception as e:  # noqa: BLE001 - one figure's failure must not end the job
                         said.append(None)
-                yield pa.record_batch([batch.column("id12"), pa.array(said, pa.string())], names=["id12", "reply"])
+                        wrong.append(f"{model}: " + re.sub(X.SECRETS, "***REDACTED***", str(e)))
+                yield pa.record_batch([batch.column("id12"), pa.array(said, pa.string()), pa.array(wrong, pa.string())], names=["id12", "reply", "error"])
 
-        one = described.select("id12", "uri", "answer").mapInArrow(run, "id12 string, reply string").select("id12", F.lit(k).alias("k"), F.coalesce(X.verdict_defects(F.col("reply")), F.array().cast("array<string>")).alias("tags"))
+        one = described.select("id12", "uri", "answer").mapInArrow(run, "id12 string, reply string, error string")
+        one = one.select("id12", F.lit(k).alias("k"), F.coalesce(X.verdict_defects(F.col("reply")), F.array().cast("array<string>")).alias("tags"), "error")
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("id12").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "tags"))), lambda x: x["tags"]))).alias("judge_verdict"))
+    said = F.array_sort(F.collect_list(F.struct("k", "tags", "error")))
+    return out.groupBy("id12").agg(said.alias("s")).select(
+        "id12", F.array_distinct(F.flatten(F.transform("s", lambda x: x["tags"]))).alias("judge_verdict"), F.filter(F.transform("s", lambda x: x["error"]), lambda e: e.isNotNull()).alias("errors")
+    )
+
 
+def refreshed(found: DataFrame, images: DataFrame, cache: DataFrame, client: Callable[[str, str, str], str] | None, model: str, judges: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The cache with entries for all found figures that it lacks, and ``id12, error`` of calls that failed.
 
-def refreshed(found: DataFrame, images: DataFrame, cache: DataFrame, client: Callable[[str, str, str], str], model: str, judges: tuple[str, ...] = ()) -> DataFrame:
-    """The cache with entries for all found figures that it lacks; figures whose image isn't known or whose call fails stay out."""
+    Every figure is asked for once, whatever number of documents hold it: answers
+    are written to the shared folder before they are used.  Figures whose image
+    isn't known or whose call fails stay out.
+    """
     have = usable(cache)
-    lacking = found.select("id12").distinct().join(have, "id12", "left_anti").join(images.select("id12", "uri").dropDuplicates(["id12"]), "id12")
-    new = ask(lacking, client, model).where(F.col("answer").isNotNull()).select("id12", "model", "answer", F.lit(None).cast("array<string>").alias("judge_verdict"))
-    every = have.unionByName(new)
+    if client is None:
+        return have.withColumnRenamed("answer", "markdown"), have.select("id12", F.lit(None).cast("string").alias("error")).limit(0)
+    pictures = images.select("id12", "uri").dropDuplicates(["id12"]).join(found.select("id12").distinct(), "id12", "left_semi")
+    asked = stored(ask(pictures.join(have, "id12", "left_anti"), client, model), "answers")
+    failed = asked.where(F.col("answer").isNull()).select("id12", "error")
+    every = have.unionByName(asked.where(F.col("answer").isNotNull()).select("id12", "model", "answer", F.lit(None).cast("array<string>").alias("judge_verdict")))
     if judges:
-        open_ = every.where(F.col("judge_verdict").isNull()).join(images.select("id12", "uri").dropDuplicates(["id12"]), "id12")
-        verdicts = judge(open_, client, judges).withColumnRenamed("judge_verdict", "fresh")
-        every = every.join(verdicts, "id12", "left").select("id12", "model", "answer", F.coalesce("judge_verdict", "fresh").alias("judge_verdict"))
-    return every.withColumnRenamed("answer", "markdown")
+        verdicts = stored(judge(every.where(F.col("judge_verdict").isNull()).join(pictures, "id12"), client, judges), "verdicts")
+        failed = failed.unionByName(verdicts.select("id12", F.explode("errors").alias("error")))
+        every = every.join(verdicts.select("id12", F.col("judge_verdict").alias("fresh")), "id12", "left").select("id12", "model", "answer", F.coalesce("judge_verdict", "fresh").alias("judge_verdict"))
+    return every.withColumnRenamed("answer", "markdown"), failed
+
+
+def content_box(items: Column, page: Column) -> Column:
+    """The box around all items of a page (arrays of ``x0, top, x1, bottom``), within the page; null if nothing of it is visible."""
+    side = lambda name: F.transform(items, lambda x: x[name].cast("double"))
+    x0, top = F.greatest(F.array_min(side("x0")), page["x0"]), F.greatest(F.array_min(side("top")), page["top"])
+    x1, bottom = F.least(F.array_max(side("x1")), page["x1"]), F.least(F.array_max(side("bottom")), page["bottom"])
+    return F.when((F.size(items) > 0) & (x0 < x1) & (top < bottom), F.struct(x0.alias("x0"), top.alias("top"), x1.alias("x1"), bottom.alias("bottom")))

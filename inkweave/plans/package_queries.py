@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from inkweave.functions import text as X
 from inkweave.operators import package, sheets
 from inkweave.sources import batch, builder
 from inkweave.sources import builder as B
-from inkweave.sources.tables import shared_dir, spread, table
+from inkweave.sources.tables import shared_dir, spread, stored, table
 from inkweave.streaming import ingest
 
 
@@ -196,10 +197,10 @@ def _packed(facts: DataFrame, form: str, make) -> DataFrame:
     return facts.mapInArrow(build, "source_id string, format string, content binary")
 
 
-def _told(got: DataFrame) -> DataFrame:
+def _told(got: DataFrame, *more: str) -> DataFrame:
     """Results with ids of figures, which hash their XML, left out."""
     shown = F.regexp_replace("markdown", r"(docx group|docx chart|xlsx chart) [0-9a-f]{12}", "$1 ID")
-    return got.select("source_id", "status", F.sha2(shown.cast("binary"), 256).alias("md_sha256"), "charts_found", "charts_rendered", "groups_found", F.array_join("warnings", ";").alias("warnings"))
+    return got.select("source_id", "status", F.sha2(shown.cast("binary"), 256).alias("md_sha256"), "charts_found", "charts_rendered", "groups_found", F.array_join("warnings", ";").alias("warnings"), *more)
 
 
 def workbook_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,6 +286,37 @@ m AS (SELECT k, '# ' || replace(name, '_', '\\_') || ' report' || {_LINES} || '*
 SELECT k || '.docx' AS source_id, 'ok' AS status, sha256(md) AS md_sha256, 2 AS charts_found, 1 AS charts_rendered, 1 AS groups_found, '' AS warnings FROM m"""
 
 
+def _described(prompt: str, uri: str, model: str) -> str:
+    """A scripted client: repeats the name that the image holds; judges find fault with some."""
+    seen = base64.b64decode(uri.partition("base64,")[2]).decode()[:9].rstrip("N")
+    if prompt.startswith("Compare"):
+        return f"hallucination: {'yes' if seen.endswith('3') else 'no'}\nmermaid_fit: n/a\nlanguage: {'no' if model == 'judge-b' else 'yes'}"
+    return f"# Seen {seen}\n> [x]"
+
+
+def interpret_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per nation with an image and a group; a cache knows every third, a scripted client describes the rest and two judges look at them."""
+
+    def make(key, name, rows):
+        return B.docx(B.paragraph("Before") + B.picture("rId1") + B.group(["Alpha 7", "Rows"]) + B.paragraph("After"), {"b.png": (name * 5000)[:6000].encode()}, links={"rId1": ("image", "media/b.png")})
+
+    facts = _years(spark, sf_dir)
+    source = stored(_packed(facts, "docx", make), "source")
+    ident = F.substring(F.sha2(F.substring(F.repeat("n_name", 5000), 1, 6000).cast("binary"), 256), 1, 12)
+    cache = facts.where("c_nationkey % 3 = 0").select(ident.alias("id12"), F.lit("old").alias("model"), F.lit("Known").alias("markdown"), F.lit(None).cast("array<string>").alias("judge_verdict"))
+    got = engine.convert(source, engine.Config(use_vlm=True, verify=True, model="m-1"), _described, cache)
+    return _told(got, "vlm_used").select("source_id", "md_sha256", "warnings", "vlm_used")
+
+
+INTERPRET_FIGURES = f"""
+WITH n AS (SELECT DISTINCT c_nationkey AS k, n_name AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+i AS (SELECT *, sha256(repeat(name, 5000)[:6000])[:12] AS id, rtrim(repeat(name, 2)[:9], 'N') AS seen FROM n),
+m AS (SELECT *, 'Before' || {_LINES} || '> [Image, docx media ' || id || ' — VLM interpretation (' || CASE WHEN k % 3 = 0 THEN 'old' ELSE 'm-1' END || '); reconstruction, verify against original]' || {_LINES}
+  || CASE WHEN k % 3 = 0 THEN 'Known' ELSE '**Seen ' || seen || '**' || chr(10) || '> ' || chr(8203) || '[x]' END || {_LINES} || '> [/VLM interpretation docx media ' || id || ']' || {_LINES}
+  || '> [Figure, docx group ID — composite content not analyzed]' || chr(10) || '> captions: Alpha 7; Rows; old' || {_LINES} || 'After' || chr(10) AS md FROM i)
+SELECT k || '.docx' AS source_id, sha256(md) AS md_sha256, CASE WHEN seen LIKE '%3' THEN 'vlm-judge-hallucination: ' || id || ';' ELSE '' END || 'vlm-judge-language: ' || id AS warnings, true AS vlm_used FROM m"""
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a file stream, aggregated by hour, to a table."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -298,4 +330,4 @@ STREAM_INGEST = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DECIMAL(28,4)::VARCHAR AS total FROM events GROUP BY ALL"""
 
 HTML_TO_MARKDOWN = None
-QUERIES = {f.__name__: (f, globals()[f.__name__.upper()]) for f in (anchor_cell, sheet_table, sheet_empty, rel_resolution, media_id12, formula_ref, batch_plan, collisions, html_to_markdown, package_roundtrip, workbook_charts, document_roundtrip, stream_ingest)}
+QUERIES = {f.__name__: (f, globals()[f.__name__.upper()]) for f in (anchor_cell, sheet_table, sheet_empty, rel_resolution, media_id12, formula_ref, batch_plan, collisions, html_to_markdown, package_roundtrip, workbook_charts, document_roundtrip, interpret_figures, stream_ingest)}

@@ -65,7 +65,8 @@ def test_enhancement_with_scripted_client(spark):
 
     found = figures.markers(docs, "source_id")
     assert [(r.place, r.kind, r.id12[0], r.witness) for r in found.orderBy("place").collect()] == [(0, "image", "a", None), (1, "group", "c", "Alpha; 42"), (2, "image", "b", None), (3, "image", "d", None)]
-    fresh = figures.refreshed(found, images, cache, client, "m-1", ("j1", "j2"))
+    fresh, failed = figures.refreshed(found, images, cache, client, "m-1", ("j1", "j2"))
+    assert [(r.id12[0], r.error) for r in failed.collect()] == [("b", "no: ***REDACTED***")]
     assert {r.id12[0]: (r.model, r.judge_verdict) for r in fresh.collect()} == {"a": ("old", ["vlm-judge-hallucination", "vlm-judge-mermaid"]), "c": ("m-1", ["vlm-judge-hallucination", "vlm-judge-mermaid"])}
     got = {r.source_id: r for r in figures.inject(docs, fresh, "source_id", verify=True).collect()}
     assert got["y"].markdown == "plain" and not got["y"].vlm_used
