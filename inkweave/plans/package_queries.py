@@ -275,7 +275,7 @@ DOCUMENT_ROUNDTRIP = f"""
 WITH {_YEARS},
 g AS (SELECT k, n_name AS name, string_agg('| ' || y || ' | ' || n || ' orders |', chr(10) ORDER BY y) AS cells, string_agg('s' || i || y || '["' || y || '"]', ', ' ORDER BY y) || chr(10) || 'curve n["N"]{{' || string_agg(format('{{:.4g}}', n::DOUBLE), ', ' ORDER BY y) || '}}' AS axes,
   string_agg('| ' || y || ' | ' || format('{{:,}}', n) || ' |', chr(10) ORDER BY y) AS body FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y) - 1 AS i FROM t) JOIN nation ON k = n_nationkey GROUP BY ALL),
-m AS (SELECT k, '# ' || replace(name, '_', '\\_') || ' report' || {_LINES} || '**strong \*text\***' || {_LINES} || 'See [the site](http://example.com/x) now[[1]](#footnote-4)[[2]](#endnote-2)' || {_LINES}
+m AS (SELECT k, '# ' || replace(name, '_', '\\_') || ' report' || {_LINES} || '**strong \\*text\\***' || {_LINES} || 'See [the site](http://example.com/x) now[[1]](#footnote-4)[[2]](#endnote-2)' || {_LINES}
   || '1. first' || chr(10) || '2. second' || chr(10) || '  * inner' || chr(10) || '3. third' || chr(10) || '* point' || chr(10) || '1. again' || {_LINES}
   || '|  |  |' || chr(10) || '| --- | --- |' || chr(10) || '| Years | |' || chr(10) || cells || chr(10) || '| deep er | kept |' || {_LINES}
   || '> [Image, docx media ' || sha256(repeat(name, 5000)[:5000])[:12] || ' — raster content not analyzed]' || {_LINES} || 'box:' || {_LINES} || 'boxed' || {_LINES}
