@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of files below which a table is spread before costly expressions.
-SMALL_BYTES = 32 << 20
+SMALL_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
