@@ -6,9 +6,6 @@ Everything here works on Arrow buffers with numpy; no row-at-a-time Python.
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -16,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from inkweave.sources import tables
+from inkweave.sources.tables import shared_dir, spread, stored  # noqa: F401 - used by the operators
+
 #: Bytes of text handled at once by a kernel; bounds a worker's memory (about 40 times this).
 SLICE_BYTES = 4 << 20
 
@@ -26,35 +26,12 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-# == stored tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs on one machine (tests)."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        at = f"file://{tempfile.gettempdir()}/inkweave-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    This cuts the lineage without depending on any executor's disk; the files go when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+# == tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one that is a task or two only is spread over all cores."""
+    return spread(tables.table(spark, sf_dir, name))
 
 
 # == Arrow

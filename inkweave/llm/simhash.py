@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import arrow_map, buffers, stored, whole
+from inkweave.llm.common import U64, arrow_map, buffers, inside, stored, whole, words_of
 
 RADIUS = 4
 SEGMENTS = 5
@@ -36,36 +36,109 @@ SHINGLE = 4
 SEED = 42
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
+#: Bytes of text that are fingerprinted together, and of a shingle that is hashed by itself.
+PART_BYTES = 1 << 20
+ONE_BY_ONE = 512
+_P1, _P2, _P3, _P4, _P5 = map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_ALL = (1 << 64) - 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LANES = [np.array([sum((x >> (4 * half + b) & 1) << (16 * b) for b in range(4)) for x in range(256)], np.uint64) for half in range(2)]
 
 
 # == fingerprints
 
 
+def _left(x: np.ndarray, r: int) -> np.ndarray:
+    return x << U64(r) | x >> U64(64 - r)
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many byte ranges of one buffer, step by step over all that still have bytes; the longest few one by one."""
+    size = stop - start
+    out = np.empty(len(start), np.uint64)
+    far = np.flatnonzero(size > ONE_BY_ONE)
+    for k in far.tolist():
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : stop[k]], seed)
+    rest = np.flatnonzero(size <= ONE_BY_ONE) if len(far) else np.arange(len(start))
+    at, left = start[rest], size[rest]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    four = np.ndarray(len(data) + 5, "<u4", padded, strides=(1,))
+    h = np.full(len(rest), (seed + int(_P5)) & _ALL, np.uint64)
+    mix = lambda x: _left(x * _P2, 31) * _P1
+    if len(k := np.flatnonzero(left >= 32)):
+        lanes = [np.full(len(k), (seed + x) & _ALL, np.uint64) for x in (int(_P1) + int(_P2), int(_P2), 0, -int(_P1))]
+        now = np.arange(len(k))
+        while len(now):
+            p = at[k[now]]
+            for n in range(4):
+                lanes[n][now] = _left(lanes[n][now] + eight[p + 8 * n] * _P2, 31) * _P1
+            at[k[now]] += 32
+            left[k[now]] -= 32
+            now = now[left[k[now]] >= 32]
+        long = _left(lanes[0], 1) + _left(lanes[1], 7) + _left(lanes[2], 12) + _left(lanes[3], 18)
+        for lane in lanes:
+            long = (long ^ mix(lane)) * _P1 + _P4
+        h[k] = long
+    h += size[rest].astype(np.uint64)
+    while len(k := np.flatnonzero(left >= 8)):
+        h[k] = _left(h[k] ^ mix(eight[at[k]]), 27) * _P1 + _P4
+        at[k] += 8
+        left[k] -= 8
+    k = np.flatnonzero(left >= 4)
+    h[k] = _left(h[k] ^ four[at[k]].astype(np.uint64) * _P1, 23) * _P2 + _P3
+    at[k] += 4
+    left[k] -= 4
+    while len(k := np.flatnonzero(left > 0)):
+        h[k] = _left(h[k] ^ data[at[k]].astype(np.uint64) * _P5, 11) * _P1
+        at[k] += 1
+        left[k] -= 1
+    h = (h ^ h >> U64(33)) * _P2
+    h = (h ^ h >> U64(29)) * _P3
+    out[rest] = h ^ h >> U64(32)
+    return out
+
+
+def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bits that are set in over half of the hashes ``first[k]:first[k+1]``; zero without any.  Bits are counted four at a time in 16-bit lanes."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    begin = first[:-1][full]
+    pieces = -(-n[full] // 0xFFFF)  # no lane may run over
+    edge = np.repeat(begin, pieces) + 0xFFFF * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    group = np.cumsum(pieces) - pieces
+    for k in range(8):
+        octet = (h >> U64(8 * k)).astype(np.uint8)
+        for half in range(2):
+            lanes = np.add.reduceat(_LANES[half][octet], edge)
+            for b in range(4):
+                count = np.add.reduceat((lanes >> U64(16 * b) & U64(0xFFFF)).astype(np.int64), group)
+                out[full] |= (2 * count > n[full]).astype(np.uint64) << U64(8 * k + 4 * half + b)
+    return out
+
+
+def prints_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Unsigned fingerprints of the texts in one UTF-8 buffer."""
+    w = words_of(data, off)
+    size = w.end - w.start
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    # every word in lower case and one space after it
+    place = np.arange(begin[-1]) + np.repeat(w.start - begin[:-1], size + 1)
+    line = _LOWER[w.data[np.minimum(place, max(0, len(w.data) - 1))]] if len(w.data) else np.zeros(0, np.uint8)
+    line[begin[1:] - 1] = 32
+    few = (w.n > 0) & (w.n < SHINGLE)
+    at = np.sort(np.concatenate([inside(w, SHINGLE), w.first[:-1][few]]))
+    h = xxh64(line, begin[at], begin[np.minimum(at + SHINGLE, np.repeat(w.first[1:], w.n)[at])] - 1)
+    return majority(h, np.searchsorted(at, w.first))
+
+
 def fingerprint(text: bytes) -> int:
     """Unsigned fingerprint of one UTF-8 text."""
-    words = text.lower().split()  # of bytes: lowers A-Z and splits at \x20, \x09-\x0D, nothing else
-    n = len(words)
-    if not n:
-        return 0
-    line = b" ".join(words)
-    if n <= SHINGLE:
-        return xxhash.xxh64_intdigest(line, SEED)
-    size = np.fromiter(map(len, words), np.int64, n) + 1
-    stop = np.cumsum(size)
-    begin = (stop - size)[: n - SHINGLE + 1].tolist()
-    stop = (stop[SHINGLE - 1 :] - 1).tolist()
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.fromiter([digest(line[a:b], seed) for a, b in zip(begin, stop)], np.uint64, n - SHINGLE + 1)
-    return majority(h)
-
-
-def majority(h: np.ndarray) -> int:
-    """Bits that are set in over half of the hashes."""
-    octets = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        count += np.unpackbits(octets[at : at + (1 << 15)], axis=1).sum(0, dtype=np.uint16)
-    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
+    return int(prints_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -73,12 +146,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = buffers(batch.column("text"))
-        view, ends = memoryview(data), off.tolist()
-        got = np.fromiter((fingerprint(bytes(view[a:b])) for a, b in zip(ends, ends[1:])), np.uint64, batch.num_rows)
+        got = prints_of(*buffers(batch.column("text")))
         return pa.record_batch([batch.column("doc_id"), pa.array(got.view(np.int64)), *(batch.column(c) for c in keep)], names=["doc_id", "fp", *keep])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep), kernel, f"doc_id long, fp long{kinds}")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep), kernel, f"doc_id long, fp long{kinds}", limit=PART_BYTES)
 
 
 # == pairs
@@ -124,7 +195,7 @@ def near_pairs(groups: DataFrame) -> DataFrame:
 # == components
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, rep)``: the smallest node of each node's component, for the nodes of ``edges`` (a, b).
 
     Alternates large-star and small-star steps until nothing changes; each
@@ -133,7 +204,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
-    for _ in range(most):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -144,8 +215,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("rep")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("rep")).distinct())
 
 
@@ -181,5 +250,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = docs.select(whole(docs), "doc_id", mark.alias("mark")).join(best, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark")))
     kept = kept.select("row", "keep_id", "keep_mark", "copies")
     single = kept.where("copies = 1").select("row.*")
-    repeated = kept.where("copies > 1").groupBy("keep_id", "keep_mark").agg(F.first("row").alias("row")).select("row.*")
+    repeated = kept.where("copies > 1").groupBy("keep_id", "keep_mark").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return single.unionByName(repeated)

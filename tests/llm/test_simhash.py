@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,28 @@ def test_fingerprint(text):
     assert S.fingerprint(text.encode()) == slow_print(text)
 
 
+def test_hashes_of_all_lengths():
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8)
+    start = rng.integers(0, 4000, 600)
+    stop = start + np.concatenate([np.arange(120), rng.integers(0, 1000, 480)])
+    assert S.xxh64(data, start, stop).tolist() == [xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) for a, b in zip(start, stop)]
+
+
+def test_majority_of_many():
+    rng = np.random.default_rng(7)
+    h = rng.integers(0, 2**64, 140_000, dtype=np.uint64) | np.uint64(1 << 63)
+    first = np.array([0, 0, 3, 70_003, 140_000, 140_000])
+    want = [sum(1 << b for b in range(64) if 2 * int((h[a:z] >> np.uint64(b) & np.uint64(1)).sum()) > z - a) for a, z in zip(first, first[1:])]
+    assert S.majority(h, first).tolist() == want
+
+
+def test_one_of_equal_rows_is_the_same_each_time(spark):
+    rows = [(1, "same text here", f"s{k}") for k in range(20)]
+    kept = {S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).first().source for n in (1, 3, 7)}
+    assert len(kept) == 1
+
+
 def test_pigeonring_finds_every_pair(spark):
     rng = random.Random(4)
     prints = set()
