@@ -97,6 +97,37 @@ def test_blocks_give_the_same_rows(spark, monkeypatch):
     assert rows() == one
 
 
+def test_recall_of_edited_items(spark, sf_dir):
+    """Items with words exchanged, within texts of their own: of those whose exact similarity reaches the threshold, how many are found."""
+    rng = random.Random(12)
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r.text.split()) > 8]
+    index = D.Index(pa.table({"item_id": list(range(len(items))), "text": items}))
+    word = lambda: "".join(rng.choice("qxzjkv") for _ in range(5))
+    texts, of = [], []
+    for _ in range(1500):
+        k = rng.randrange(len(items))
+        cut = items[k].split()
+        for _ in range(rng.randint(0, max(1, len(cut) // 8))):
+            cut[rng.randrange(len(cut))] = word()
+        texts.append(" ".join([word() for _ in range(9)] + cut + [word() for _ in range(9)]))
+        of.append(k)
+    d, y, *_ = index.matches(pa.array(texts))
+    got = set(zip(d.tolist(), y.tolist()))
+    seen = {0.7: [0, 0], 0.8: [0, 0], 0.9: [0, 0]}
+    for k, (t, item) in enumerate(zip(texts, of)):
+        w, h = D._scan(pa.array([t]))
+        n, (keys, weight) = int(index.size[item]), index.sets[item]
+        sim = max(weight[np.isin(keys, h[a : a + n - D.SHINGLE + 1])].sum() / weight.sum() for a in range(len(w.start) - n + 1))
+        for low in (0.9, 0.8, 0.7):
+            if sim >= low:
+                seen[low][0] += (k, item) in got
+                seen[low][1] += 1
+                break
+    assert all(n > 100 for _, n in seen.values()), seen
+    assert seen[0.9][0] == seen[0.9][1] and seen[0.8][0] >= 0.98 * seen[0.8][1] and seen[0.7][0] >= 0.9 * seen[0.7][1], seen
+    print(seen)
+
+
 def test_nasty_rows(spark, nasty):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, "long long long long"), (3, None), (4, ""), (5, "word"), (1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     got = D.leaks(nasty, bench)
