@@ -52,7 +52,7 @@ from inkweave.llm.common import SLICE_BYTES, cut, release, stored, whole
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 SECRET, FOUND = KINDS.index("secret"), KINDS.index("id")
 ROUNDS = 20
-SETTLED = 1e-3
+SETTLED = 0.01
 SHORTEST = 4
 MIN_SEEDS = 3
 ACCEPT = 0.75
@@ -229,13 +229,11 @@ def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     support = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
     edges = stored(edges.join(support, "pattern"), "supported")
     sure = F.col("seed").cast("double")
-    patterns = edges.groupBy("pattern", "seeds").agg((F.sum(sure) / (F.count("*") + 1)).alias("score"))
+    patterns = stored(edges.groupBy("pattern", "seeds").agg((F.sum(sure) / (F.count("*") + 1)).alias("score")), "patterns")
     for _ in range(rounds - 1):
-        patterns = stored(patterns, "patterns")
         doubt = F.sum(F.log(1 - F.least("score", F.lit(0.999))))
         confidence = edges.join(patterns.select("pattern", "score"), "pattern").groupBy("instance").agg(F.greatest(F.max(sure), 1 - F.exp(doubt)).alias("confidence"))
-        rescored = edges.join(confidence, "instance").groupBy("pattern", "seeds").agg((F.sum("confidence") / (F.count("*") + 1)).alias("score"))
-        rescored = stored(rescored, "patterns")
+        rescored = stored(edges.join(confidence, "instance").groupBy("pattern", "seeds").agg((F.sum("confidence") / (F.count("*") + 1)).alias("score")), "patterns")
         moved = rescored.join(patterns.select("pattern", F.col("score").alias("old")), "pattern").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
         patterns = rescored
         if (moved or 0) <= SETTLED:
