@@ -9,15 +9,16 @@ code).  Resampling is a 4-tap cubic polyphase filter in integers that doesn't
 look beyond a file's ends, so equal bytes give equal PCM everywhere.
 ``store_pcm`` keeps the resampled PCM of all three kinds as a media table.
 
-The query stores the WAV files and reads them back, and keeps a checksum of the
-mu-law reading at 16 kHz only: 16-bit PCM at twice the rate takes about as many
-bytes again, compressed, as the uncompressed texts.
+The query stores the WAV files and reads them back, stores the PCM at 16 kHz of
+their payload read as each of the three kinds, and works its features out from
+that table as it is read back.
 
 Nulls and edge cases: a null text is empty; an empty text is 64 zero bytes; a
 null or malformed media value decodes to null PCM with the reason in ``error``;
 a short last ADPCM block is filled with zeros.  Repeated rows get equal values;
 other columns are ignored.  Memory follows the slice of rows, or the longest
-single file; nothing is shuffled.
+single file; nothing is shuffled.  A payload of 137 MB or more has more PCM
+than one row holds and is an error.
 """
 
 from __future__ import annotations
@@ -25,19 +26,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import arrow_map, buffers, cut, pack, stored
+from inkweave.llm.common import arrow_map, buffers, pack, stored
 
 UNIT = 64
 RATE = 8000
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
 PART_BYTES = 1 << 20
+#: PCM takes about 15 times the bytes of its payload, and a reader holds a whole row group of it: these are small.
+GROUPS = {"parquet.enable.dictionary": "false", "parquet.block.size": 8 << 20, "parquet.block.row.count.limit": 128, "parquet.page.size.row.check.min": 8}
 
 
 def _mulaw() -> np.ndarray:
@@ -215,36 +217,56 @@ def _measures(x: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat((wide * wide).astype(np.int64), off[:-1]), np.add.reduceat(turn, off[:-1]), np.maximum.reduceat(np.abs(wide), off[:-1])]
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Digests of stored files and of their payload read as mu-law, A-law and ADPCM (64-byte blocks)."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in cut(batch, "media", PART_BYTES):
-                media = part.column("media").to_pylist()
-                read = [read_wav(m) for m in media]
-                payload = [r[4] for r in read]
-                size = np.fromiter(map(len, payload), np.int64, len(payload))
-                off = np.concatenate([[0], np.cumsum(size)])
-                data = np.frombuffer(b"".join(payload), np.uint8)
-                mulaw = MULAW[data]
-                blocks = off // UNIT * (2 * UNIT - 7)
-                told = [_measures(mulaw, off), _measures(ALAW[data], off), _measures(decode_blocks(data).ravel(), blocks)]
-                wide, ends = memoryview(double(mulaw, off).view(np.uint8)), (4 * off).tolist()
-                feature = [
-                    ";".join(f"{name}:{e},{t},{p}" for name, (e, t, p) in zip(("mulaw", "alaw", "adpcm"), zip(*[iter(row)] * 3))) + f";pcm16k:{zlib.crc32(wide[a:b]):08x}"
-                    for *row, a, b in zip(*(c.tolist() for m in told for c in m), ends, ends[1:])
-                ]
-                columns = [
-                    part.column("doc_id"), pa.array([r[3] for r in read], pa.int64()), pa.array(size), pa.array([hashlib.sha256(p).hexdigest() for p in payload]),
-                    pa.array([zlib.crc32(p[-UNIT:]) for p in payload], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature),
-                ]
-                yield pa.record_batch(columns, names=[f.split()[0] for f in schema.split(", ")])
-
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+TOLD = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+PCM = {"pcm_mulaw": "mulaw", "pcm_alaw": "alaw", "pcm_adpcm": "adpcm"}
+
+
+def _pcm_column(x: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pack(double(x, off).astype("<i2", copy=False).view(np.uint8), 4 * off)
+
+
+def readings(media: DataFrame) -> DataFrame:
+    """Digests of stored files, and their payload read as mu-law, A-law and ADPCM (64-byte blocks): 16-bit little-endian PCM at 16 kHz."""
+    schema = TOLD + "".join(f", {c} binary" for c in PCM)
+
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        media = part.column("media").to_pylist()
+        read = [read_wav(m) for m in media]
+        payload = [r[4] for r in read]
+        size = np.fromiter(map(len, payload), np.int64, len(payload))
+        if len(size) and size.max() >= 137_000_000:
+            raise ValueError(f"the PCM of a payload of {size.max()} bytes is more than a row holds")
+        off = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(b"".join(payload), np.uint8)
+        columns = [
+            part.column("doc_id"), pa.array([r[3] for r in read], pa.int64()), pa.array(size), pa.array([hashlib.sha256(p).hexdigest() for p in payload]),
+            pa.array([zlib.crc32(p[-UNIT:]) for p in payload], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]),
+            _pcm_column(MULAW[data], off), _pcm_column(ALAW[data], off), _pcm_column(decode_blocks(data).ravel(), off // UNIT * (2 * UNIT - 7)),
+        ]
+        return pa.record_batch(columns, names=[f.split()[0] for f in schema.split(", ")])
+
+    return arrow_map(media.select("doc_id", "media"), kernel, schema, text="media", limit=PART_BYTES)
+
+
+def features(kept: DataFrame) -> DataFrame:
+    """``readings`` with a feature in place of the PCM: energy, sign changes and peak of each reading at 8 kHz, and a checksum of the mu-law PCM."""
+    names = [f.split()[0] for f in TOLD.split(", ")]
+
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        told, sums = [], []
+        for c, name in PCM.items():
+            data, off = buffers(part.column(c))
+            data, off = data[off[0] : off[-1]], off - off[0]
+            told.append([f"{name}:{e},{t},{p}" for e, t, p in zip(*(m.tolist() for m in _measures(data.view("<i2")[::2], off // 4)))])  # every other sample is one of the file's own
+            if name == "mulaw":
+                view, ends = memoryview(data), off.tolist()
+                sums = [f"pcm16k:{zlib.crc32(view[a:b]):08x}" for a, b in zip(ends, ends[1:])]
+        return pa.record_batch([*map(part.column, names), pa.array(list(map(";".join, zip(*told, sums))), pa.string())], names=[*names, "feature"])
+
+    return arrow_map(kept.select(*names, *PCM), kernel, TOLD + ", feature string", text="pcm_mulaw", limit=4 * PART_BYTES)
 
 
 def round_trip(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
-    """Stores all texts as a table of WAV files, reads it back and computes ``features``."""
-    return features(stored(store(docs, codec), "media"))
+    """Stores all texts as a table of WAV files, reads it back, stores the PCM of its ``readings``, reads that back and computes ``features``."""
+    media = stored(store(docs, codec), "media")
+    return features(stored(readings(media), "pcm", GROUPS))

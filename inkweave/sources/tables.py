@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage without depending on any executor's disk or memory; the files go when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options or {}).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -121,6 +121,20 @@ def test_stored_pcm(spark):
             assert r.pcm == np.array(twice(expand(data)), "<i2").tobytes() and (r.rate, r.codec, r.error) == (16000, codec, None)
 
 
+def test_query_stores_pcm(spark):
+    """The query's PCM of all three readings is in the table that its features are worked out from."""
+    rows = [(1, "some bytes of a text"), (2, None), (3, "é" * 700), (None, "x")]
+    got = A.round_trip(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = {r.doc_id: r for r in spark.read.parquet(*got.inputFiles()).collect()}
+    assert got.count() == len(kept) == 4
+    for k, t in rows:
+        data = (t or "").encode()
+        data += bytes(-len(data) % 64 if data else 64)
+        blocks = [v for b in range(0, len(data), 64) for v in adpcm(data[b : b + 64])]
+        for name, x in (("pcm_mulaw", map(mulaw, data)), ("pcm_alaw", map(alaw, data)), ("pcm_adpcm", blocks)):
+            assert kept[k][name] == np.array(twice(list(x)), "<i2").tobytes()
+
+
 def test_decode(spark):
     df = spark.createDataFrame([(1, None), (2, "ab" * 40), (None, "é")], "doc_id long, text string")
     for codec in A.TAGS:
