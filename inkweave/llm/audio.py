@@ -38,8 +38,14 @@ UNIT = 64
 RATE = 8000
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
 PART_BYTES = 1 << 20
-#: PCM takes about 15 times the bytes of its payload, and a reader holds a whole row group of it: these are small.
-GROUPS = {"parquet.enable.dictionary": "false", "parquet.block.size": 8 << 20, "parquet.block.row.count.limit": 128, "parquet.page.size.row.check.min": 8}
+#: Large pages let zstd find repeats further back; level 12 takes twice the time of 9 for 6 to 7 % less.
+DENSE = {"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 16 << 20, "parquet.enable.dictionary": "false"}
+#: PCM takes about 15 times the bytes of its payload, and a reader holds a whole row group of it: these are small. A page
+#: never fills before its group does, so that a group ends by its raw bytes, looked at every 8 rows, however well they compress.
+GROUPS = DENSE | {
+    "parquet.page.size": 64 << 20, "parquet.block.size": 32 << 20, "parquet.block.row.count.limit": 512,
+    "parquet.page.size.row.check.min": 8, "parquet.page.size.row.check.max": 8,
+}
 
 
 def _mulaw() -> np.ndarray:
@@ -268,5 +274,5 @@ def features(kept: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
     """Stores all texts as a table of WAV files, reads it back, stores the PCM of its ``readings``, reads that back and computes ``features``."""
-    media = stored(store(docs, codec), "media")
+    media = stored(store(docs, codec), "media", DENSE)
     return features(stored(readings(media), "pcm", GROUPS))

@@ -1,7 +1,10 @@
 import hashlib
+import os
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from inkweave.llm import audio as A
@@ -135,6 +138,31 @@ def test_query_stores_pcm(spark):
             assert kept[k][name] == np.array(twice(list(x)), "<i2").tobytes()
 
 
+def groups(got):
+    """Files of the query's PCM table, and (rows, raw bytes) of their row groups."""
+    files = [urlparse(f).path for f in got.inputFiles()]
+    metas = [pq.ParquetFile(f).metadata for f in files]
+    return files, [(m.row_group(k).num_rows, m.row_group(k).total_byte_size) for m in metas for k in range(m.num_row_groups)]
+
+
+def test_stored_pcm_is_dense(documents):
+    """15 bytes of PCM to a byte of payload take less than 3 on disk."""
+    got = A.round_trip(documents.coalesce(1))
+    payload = sum(r.payload_bytes for r in got.collect())
+    files, parts = groups(got)
+    assert sum(n for _, n in parts) > 15 * payload
+    assert sum(map(os.path.getsize, files)) < 3 * payload
+
+
+def test_row_groups_stay_small(spark):
+    """Long texts after short ones: a row group ends within eight rows of its limit."""
+    rows = [(k, "short text " * 9) for k in range(300)] + [(k, f"{k} long " * 40_000) for k in range(300, 330)]
+    got = A.round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id"))
+    parts = groups(got)[1]
+    assert got.count() == sum(n for n, _ in parts) == 330
+    assert max(n for n, _ in parts) <= 512 and max(size for _, size in parts) < (32 << 20) + 8 * 16 * 400_000
+
+
 def test_decode(spark):
     df = spark.createDataFrame([(1, None), (2, "ab" * 40), (None, "é")], "doc_id long, text string")
     for codec in A.TAGS:
