@@ -28,6 +28,11 @@ def safe_float(text: Column) -> Column:
     return F.when(text.rlike(_FLOAT) & (F.abs(value) < float("inf")), value)
 
 
+def rounded(value: Column) -> Column:
+    """The nearest whole number, halves away from zero; the sign stays, so that -0.3 gives -0.0 as in C."""
+    return F.signum(value) * F.round(F.abs(value))
+
+
 @pandas_udf(StringType())
 def four_digits(v: pd.Series) -> pd.Series:
     """At most four significant digits, the shortest of fixed and exponent form; null stays null."""

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -18,3 +20,19 @@ def test_queries_without_sql_give_rows(spark, sf_dir):
 def test_entry(spark):
     assert {"chart_id", "markdown"} == set(entry.queries()["chart_xychart"](spark, "/root/testdata/sf0.001").columns)
     assert set(catalogue.queries()) <= set(entry.queries())
+
+
+def with_table(sf_dir, folder, name, df):
+    """The tables of ``sf_dir`` with another one in place of ``name``."""
+    for path in Path(sf_dir).iterdir():
+        if path.name != f"{name}.parquet":
+            (folder / path.name).symlink_to(path)
+    df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_number_text_of_balances_near_zero(spark, sf_dir, tmp_path):
+    values = [-0.51, -0.5, -0.49, -0.01, -0.0, 0.0, 0.01, 0.49, 0.5, 1.5, 2.5, -2.5, 123456.5, 0.49999999999999994, None]
+    df = spark.createDataFrame([(3 * i + k, v) for i, v in enumerate(values) for k in range(3)], "c_custkey long, c_acctbal double")
+    folder = with_table(sf_dir, tmp_path, "customer", df)
+    same_as_duckdb(catalogue.queries()["number_text"](spark, folder), catalogue.oracle_sql()["number_text"], folder)
