@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.functions import text as X
-from inkweave.operators import figures
+from inkweave.operators import figures, recall
 from inkweave.sources.tables import spread, table
 
-#: Benchmark items that are sent to the documents at a time.
-ITEMS_AT_ONCE = 256
 _LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 
 
@@ -34,22 +32,8 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, capt
 
 
 def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document, of all benchmark items the one whose words it has the largest share of (of equals, the smallest id).
-
-    The items are a stated query set, asked of all documents in blocks of about
-    ``ITEMS_AT_ONCE``; a block is one row that is sent to the documents.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.letters(F.col("text")).alias("item"))
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    words = _documents(spark, sf_dir).select("doc_id", X.letters(F.col("text")).alias("words"))
-    share = lambda i: F.when(F.size(i["item"]) == 0, 1.0).otherwise(F.size(F.array_intersect(i["item"], F.col("words"))) / F.size(i["item"]))
-    best = F.array_max(F.transform("items", lambda i: F.struct(share(i).alias("recall"), (-i["item_id"]).alias("back"))))
-    asked = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("item_id", "item")).alias("items")).withColumn("block", F.lit(b))
-        one = words.withColumn("block", F.lit(b)).join(F.broadcast(block), "block").select("doc_id", best.alias("best"))
-        asked = one if asked is None else asked.unionByName(one)
-    return asked.groupBy("doc_id").agg(F.max("best").alias("best")).select("doc_id", (-F.col("best.back")).alias("item_id"), "best.recall")
+    """For every document, of all benchmark items the one whose words it has the largest share of (of equals, the smallest id)."""
+    return recall.best_items(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 TOKEN_RECALL = rf"""
